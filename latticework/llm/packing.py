@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections import deque
@@ -38,6 +39,8 @@ class WordBPE:
         self.lib.encode_special_tokens = True
         # Fixed value: the split of word_bpe_49k.json.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        # What isn't the same word by word: lower-casing by place, special tokens' strings, controls that only Python calls white space.
+        self.odd = re.compile("[\u0130\u03a3\x1c-\x1f]|<[|]").search
         self.last = np.zeros(self.lib.get_vocab_size(), bool)
         self.last[[i for t, i in self.lib.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
@@ -52,19 +55,23 @@ class WordBPE:
         return [raw[a * 4 : b * 4] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def ids(self, text: str) -> np.ndarray:
-        if "İ" in text or "Σ" in text or "<|" in text:  # lower-casing that depends on the place; strings of special tokens
+        if self.odd(text):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces, known = self.split(unicodedata.normalize("NFC", text).lower()), self.known
-        new = list(set(pieces).difference(known))
+        words, known = unicodedata.normalize("NFC", text).lower().split(), self.known
+        new = list(set(words).difference(known))
         if new:
             if len(known) > CACHE_WORDS:
                 known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, self._each(new)))
-        out = np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
-        for p in new:
-            if len(p) > CACHE_LENGTH:
-                del known[p]
+                new = list(set(words))
+            parts = list(map(self.split, new))
+            each, at = self._each([p for x in parts for p in x]), 0
+            for w, x in zip(new, parts):
+                known[w] = each[at] if len(x) == 1 else b"".join(each[at : at + len(x)])
+                at += len(x)
+        out = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
+        for w in new:
+            if len(w) > CACHE_LENGTH:
+                del known[w]
         return out
 
 
@@ -100,13 +107,13 @@ class Packer:
     def _serve(self, source, room: int, out: list) -> int:
         q, given = self.queues[source], 0
         while room and q:
-            doc, start, ids, n, total, crc = q[0]
-            k = min(n, room)
-            out.append((doc, start, k, zlib.crc32(ids[:k].tobytes()), total, source))
+            doc, start, ids, n, total = q[0]
+            k = n if n < room else room
+            out.append((doc, start, k, zlib.crc32(ids[:k]), total, source))
             if k == n:
                 q.popleft()
             else:
-                q[0] = (doc, start + k, ids[k:], n - k, total, crc)
+                q[0] = (doc, start + k, ids[k:], n - k, total)
             room, given = room - k, given + k
         if not q:
             del self.queues[source]
@@ -116,16 +123,18 @@ class Packer:
 
     def fill(self) -> list:
         """The pieces of the next window."""
-        out, room = [], min(self.window, self.held)
-        live = {s: self.shares.get(s, 0.0) for s in self.queues}
-        total = sum(live.values())
+        out, room, deficit = [], min(self.window, self.held), self.deficit
+        live = list(self.queues)
+        total = sum(self.shares.get(s, 0.0) for s in live)
         for s in live:
-            self.deficit[s] += self.window * (live[s] / total if total > 0 else 1 / len(live))
-        for s in sorted(live, key=lambda s: (-self.deficit[s], str(s))):
-            if room:
-                room -= self._serve(s, min(room, max(0, round(self.deficit[s]))), out) if self.deficit[s] > 0 else 0
+            deficit[s] += self.window * (self.shares.get(s, 0.0) / total if total > 0 else 1 / len(live))
+        for s in sorted(live, key=deficit.__getitem__, reverse=True):
+            owed = round(deficit[s])
+            if not room or owed <= 0:
+                break
+            room -= self._serve(s, min(room, owed), out)
         while room:
-            s = max(self.queues, key=lambda s: (self.deficit[s], str(s)))
+            s = max(self.queues, key=deficit.__getitem__)
             room -= self._serve(s, room, out)
         return out
 
@@ -182,9 +191,9 @@ def pack(docs: DataFrame, shares: dict | None = None, window: int = WINDOW, toke
 
         for b in batches:
             out = []
-            for doc, text, source in zip(b["doc_id"], b["text"], b["source"]):
+            for doc, text, source in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["text"], b["source"]):
                 ids = np.append(coder.ids(text), np.uint32(END))
-                packer.add(source, (None if pd.isna(doc) else doc, 0, ids, len(ids), len(ids), 0))
+                packer.add(source, (doc, 0, ids, len(ids), len(ids)))
                 if packer.held > HELD:
                     while packer.held > HELD // 2:
                         out += rows([packer.fill()])
