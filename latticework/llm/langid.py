@@ -147,15 +147,15 @@ class Scorer:
             self.at.update(zip(own, range(base, base + len(own))))
 
 
-def predict(docs: DataFrame, langs: list[str], probabilities: np.ndarray, *keep: str) -> DataFrame:
-    """doc_id, lang_pred and score for every row, and the columns to keep.
+def predict(docs: DataFrame, langs: list[str], probabilities: np.ndarray, *keep: str, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """The columns to keep, the predicted language and its score for every row.
 
     The score is the predicted language's share of the likelihood, all languages alike
     beforehand. A null text, one without a letter, and any text when no language was
     learned give 'und' and 0. Equal likelihoods go to the first language by name. Texts are read whole.
     """
     if not langs:
-        return docs.select("doc_id", *keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit(UNDETERMINED).alias(pred_col), F.lit(0.0).alias(score_col))
     model = docs.sparkSession.sparkContext.broadcast(probabilities)
 
     def run(batches):
@@ -177,18 +177,17 @@ def predict(docs: DataFrame, langs: list[str], probabilities: np.ndarray, *keep:
                 k = int(s.argmax())
                 pred.append(langs[k])
                 score.append(float(1 / np.exp(s - s[k]).sum()))
-            yield b[["doc_id", *keep]].assign(lang_pred=pred, score=score)
+            yield b[list(keep)].assign(**{pred_col: pred, score_col: score})
 
-    kept = docs.select("doc_id", *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select("doc_id", "text", *[k for k in keep if k != "text"]).mapInPandas(run, f"{schema}, lang_pred string, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select("text", *[k for k in keep if k != "text"]).mapInPandas(run, f"{schema}, `{pred_col}` string, `{score_col}` double")
 
 
 def identify(docs: DataFrame, held: int = 2, folds: int = 4) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from the rows that aren't held out."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (crc_mod("doc_id", folds) == held).alias("held_out"))
     langs, p = train(docs.where("not held_out"))
-    return predict(docs, langs, p, "held_out").select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs, langs, p, "doc_id", "held_out").select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,30 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
 from .bpe import op4_byte_bpe
+from .embeddings import op10_embedding_near_dedup
+from .jaccard import op2_ngram_jaccard
 from .langid import op7_language_id
 from .lm import op8_lm_score
 from .packing import op9_packing
+from .pii import op1_pii
+from .quality import op6_quality
+from .secrets import op3_secrets
+from .suffix import op5_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op7_language_id, op8_lm_score, op9_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii,
+        op2_ngram_jaccard,
+        op3_secrets,
+        op4_byte_bpe,
+        op5_suffix_dedup,
+        op6_quality,
+        op7_language_id,
+        op8_lm_score,
+        op9_packing,
+        op10_embedding_near_dedup,
+    )
+}
 
 ORACLES: dict[str, str] = {}

@@ -18,6 +18,8 @@ _ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{24,}")
+#: What any text with a candidate holds.
+_ANY = r"AKIA[A-Z0-9]{14}|[0-9a-f]{16}|[A-Za-z0-9+/_-]{24}|[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{12}"
 #: Bits a character, at least, of a token that no pattern names; owners from which on a value is an example.
 ENTROPY, EXAMPLE_OWNERS = 3.5, 3
 
@@ -110,5 +112,35 @@ def find(docs: DataFrame, owner_col: str = "source", repository_cols: tuple[str,
     )
 
 
+def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
+    """docs with each span of find() in text replaced by the mark; overlapping spans are replaced once.
+
+    Spans are found by row, so repeated and null doc_ids do no harm; all other columns stay as they are.
+    """
+    key = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    owner = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    own = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", owner.alias("source"), lang.alias("lang"), key.alias("_text"))
+    texts = cut(own.select("doc_id", "_text", "source", "lang", "text").where(F.col("text").rlike(_ANY)))
+    hit = find(texts).where("spans <> ''").select("doc_id", "spans")
+    spans = cut(hit.join(texts.select("doc_id", "_text"), "doc_id").groupBy("_text").agg(F.max("spans").alias("_spans")))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for t, s in zip(b["text"], b["_spans"]):
+                if s:
+                    done, parts = 0, []
+                    for a, z in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in s.split(",")):
+                        if a >= done:
+                            parts += [t[done:a], mark]
+                        done = max(done, z)
+                    t = "".join([*parts, t[done:]])
+                out.append(t)
+            yield b.drop(columns="_spans").assign(text=out)
+
+    return docs.withColumn("_text", key).join(spans, "_text", "left").select(*docs.columns, "_spans").mapInPandas(run, docs.schema)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
