@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, id_filter, in_filter_slot, mix, table, tree_merge, words
 
-#: Counters of the frequency sketch, bits of a set's parity sketch, sets of an index block, sets of a list that one task takes.
+#: Counters of the frequency sketch, bits of a set's parity sketch at least, sets of an index block, sets of a list that one task takes.
 SKETCH, PARITY, BLOCK, LIST = 1 << 20, 1024, 64, 2_048
 _TURN = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(64)], np.uint64)
 
@@ -37,6 +37,33 @@ def class_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True)
 
 
+def text_id(text: str | None) -> int:
+    """64 bits of the hash of a text, to find it again."""
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def parity(s: np.ndarray) -> bytes:
+    """For each low-bit pattern of hashes, whether a set has an odd number of them; about a bit a token.
+
+    Where two sketches differ, one set has a token that the other lacks.
+    """
+    bits = max(PARITY, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """In how many places sketches differ, a larger one folded to the size of the smaller: no more than the tokens that only one set has."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.stack([a.map(len), b.map(len)], 1)
+    for x, y in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == (x, y)).all(1))
+        m = min(x, y)
+        p, q = (np.bitwise_xor.reduce(np.frombuffer(b"".join(v.iloc[at]), np.uint8).reshape(len(at), -1, m), 1) for v in (a, b))
+        out[at] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+    return out
+
+
 def list_pairs(ids: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of an index list that could be similar and are not yet known to be connected.
 
@@ -119,48 +146,47 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
                     continue
                 order = np.lexsort((s, hot[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))
                 prefix = s[order[: n - -(-percent * n // 100) + 1]].view(np.int64)
-                odd = np.bincount((s >> np.uint64(20) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
-                out.append((n, class_id(s), prefix, np.packbits(odd.astype(np.uint8)).tobytes()))
+                out.append((n, class_id(s), prefix, parity(s)))
             pdf = pd.DataFrame(out, columns=["n", "cid", "prefix", "parity"])
+            pdf["tid"] = [text_id(t) for t in b["text"]]
             pdf["cid"] = pd.array([x[1] for x in out], "Int64")
             pdf.insert(0, "doc_id", b["doc_id"].array)
             yield pdf
 
-    signed = cut(docs.mapInPandas(sign, "doc_id long, n long, cid long, prefix array<long>, parity binary"))
-    reps = cut(signed.where("n > 0").groupBy("cid", "n").agg(F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
+    signed = cut(docs.mapInPandas(sign, "doc_id long, n long, cid long, prefix array<long>, parity binary, tid long"))
+    reps = cut(signed.where("n > 0").groupBy("cid", "n").agg(F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), F.min("tid").alias("tid")))
     posts = reps.select("cid", "n", F.posexplode("prefix").alias("pos", "tok"))
     lists = cut(posts.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("cid", "n")).alias("p")).where("c > 1").select("tok", "c", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn")))
     members = cut(posts.join(lists, "tok"))
-    sketches = reps.select("cid", "n", "parity")
+    sketches = reps.select("cid", "n", "parity", "tid")
 
     def likely(pairs):
-        """Pairs (a, b) that their sizes and parity sketches leave possible."""
-        sk = lambda x: sketches.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+        """Pairs (a, b), with a text of each, that their sizes and parity sketches leave possible."""
+        sk = lambda x: sketches.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"), F.col("tid").alias(f"t{x}"))
 
         def bound(batches):
             for b in batches:
                 if len(b):
-                    x = np.frombuffer(b"".join(b["pa"]), np.uint8) ^ np.frombuffer(b"".join(b["pb"]), np.uint8)
-                    apart = np.bitwise_count(x.reshape(len(b), -1)).sum(1, dtype=np.int64)
-                    yield b.loc[apart * (100 + percent) <= (b["na"] + b["nb"]).to_numpy() * (100 - percent), ["a", "b"]]
+                    yield b.loc[apart(b["pa"], b["pb"]) * (100 + percent) <= (b["na"] + b["nb"]).to_numpy() * (100 - percent), ["a", "b", "ta", "tb"]]
 
-        return pairs.join(sk("a"), "a").join(sk("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInPandas(bound, "a long, b long")
+        return pairs.join(sk("a"), "a").join(sk("b"), "b").select("a", "b", "na", "nb", "pa", "pb", "ta", "tb").mapInPandas(bound, "a long, b long, ta long, tb long")
 
     def verified(pairs):
         """Those of the pairs (a, b) that are similar."""
-        wanted = spark.sparkContext.broadcast(np.packbits(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")))
+        wanted = spark.sparkContext.broadcast(np.packbits(id_filter(pairs.select(F.explode(F.array("ta", "tb")).alias("id")), "id")))
 
         def gather(batches):
             want, done = np.unpackbits(wanted.value).astype(bool), set()
             for b in batches:
                 out = []
                 for t in b["text"]:
-                    s = shingle_set(t, size)
-                    if len(s):
-                        c = class_id(s)
-                        if c not in done and want[in_filter_slot(np.array([c]), len(want))[0]]:
-                            done.add(c)
-                            out.append((c, s.tobytes()))
+                    if t and (k := text_id(t)) not in done and want[in_filter_slot(np.array([k]), len(want))[0]]:
+                        done.add(k)
+                        s = shingle_set(t, size)
+                        if len(s):
+                            out.append((class_id(s), s.tobytes()))
+                if len(done) > 1_000_000:
+                    done.clear()
                 yield pd.DataFrame(out, columns=["cid", "s"]).astype({"cid": "int64"})
 
         sets = cut(docs.select("text").mapInPandas(gather, "cid long, s binary").groupBy("cid").agg(F.first("s").alias("s")))
@@ -179,7 +205,7 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 
     near = f"pn * {percent} <= n * 100 and n * {percent} <= pn * 100"
     firsts = members.where("cid <> pivot").where(near).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = verified(cut(likely(firsts).groupBy("a").agg(F.min("b").alias("b"))))
+    links = verified(cut(likely(firsts).groupBy("a").agg(F.min(F.struct("b", "ta", "tb")).alias("x")).select("a", "x.*")))
     label = cut(components(links).select(F.col("id").alias("cid"), F.col("component").alias("label")))
 
     marked = members.join(label, "cid", "left").select("tok", "cid", "n", "pos", "c", F.coalesce("label", "cid").alias("label"))

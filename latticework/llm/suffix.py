@@ -91,7 +91,8 @@ class RunIndex:
         self.ends = np.cumsum(sizes) - 1
         codes = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + len(texts)
         codes[self.ends] = np.arange(len(texts))  # each separator is a letter of its own
-        order = self._order(codes)
+        packed, self.step = self._packed(codes)
+        order = self._order(packed, self.step)
         before = codes[order - 1]
         run = np.flatnonzero(np.diff(before, prepend=-1))
         self.letters = before[run]
@@ -100,22 +101,35 @@ class RunIndex:
         above = np.where(run > 0, order[run - 1], -1)
         nxt = np.append(run[1:], len(order))
         below = np.where(nxt < len(order), order[np.minimum(nxt, len(order) - 1)], -1)
-        self.up = self._samples(heads, self._shared(codes, heads, above))
-        self.down = self._samples(tails, self._shared(codes, tails, below))
+        self.up = self._samples(heads, self._shared(codes, packed, self.step, heads, above))
+        self.down = self._samples(tails, self._shared(codes, packed, self.step, tails, below))
         self.n = len(codes)
 
     @staticmethod
-    def _order(codes: np.ndarray) -> np.ndarray:
+    def _packed(codes: np.ndarray) -> tuple[np.ndarray, int]:
+        """For each position as many letters as fit into a number, and how many these are."""
+        bits = int(codes.max() + 1).bit_length()
+        step = max(1, 62 // bits)
+        long = np.concatenate([codes + 1, np.zeros(step, np.int64)])
+        out = np.zeros(len(codes), np.int64)
+        for i in range(step):
+            out = out << bits | long[i : i + len(codes)]
+        return out, step
+
+    @staticmethod
+    def _order(packed: np.ndarray, h: int) -> np.ndarray:
         """The suffix order by doubling; only suffixes not yet told apart are sorted again."""
-        n = len(codes)
-        _, rank = np.unique(codes, return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(np.bincount(rank))[:-1]])
-        rank = starts[rank]
-        live, h = np.arange(n), 1
+        n = len(packed)
+        live = np.argsort(packed)
+        fresh = np.flatnonzero(np.diff(packed[live], prepend=-1))
+        sizes = np.diff(np.append(fresh, n))
+        rank = np.empty(n, np.int64)
+        rank[live] = np.repeat(fresh, sizes)
+        live = live[np.repeat(sizes > 1, sizes)]
         while len(live):
             after = np.where(live + h < n, rank[np.minimum(live + h, n - 1)], -1) + 1
             key = rank[live] * (n + 1) + after
-            by = np.argsort(key, kind="stable")
+            by = np.argsort(key)
             live, key = live[by], key[by]
             own = rank[live]
             new_group = np.diff(own, prepend=-1) != 0
@@ -132,15 +146,17 @@ class RunIndex:
         return order
 
     @staticmethod
-    def _shared(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _shared(codes: np.ndarray, packed: np.ndarray, step: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many letters the suffixes at a and b share: packed ones first, then the rest one by one."""
         out = np.zeros(len(a), np.int64)
-        live = np.flatnonzero(b >= 0)
         n = len(codes)
-        while len(live):
-            x, y = a[live] + out[live], b[live] + out[live]
-            same = (np.maximum(x, y) < n) & (codes[np.minimum(x, n - 1)] == codes[np.minimum(y, n - 1)])
-            live = live[same]
-            out[live] += 1
+        for letters, k in ((packed, step), (codes, 1)):
+            live = np.flatnonzero(b >= 0)
+            while len(live):
+                x, y = a[live] + out[live], b[live] + out[live]
+                same = (np.maximum(x, y) < n) & (letters[np.minimum(x, n - 1)] == letters[np.minimum(y, n - 1)])
+                live = live[same]
+                out[live] += k
         return out
 
     @staticmethod
