@@ -1,0 +1 @@
+"""Panel analytics for cross-sectional factor research, on Spark DataFrames."""
