@@ -64,7 +64,12 @@ def apart(a: pd.Series, b: pd.Series) -> np.ndarray:
     return out
 
 
-def list_pairs(ids: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def folded(sketch: bytes) -> bytes:
+    """A parity sketch of PARITY / 2 bits, small enough to travel with index lists."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, PARITY // 16), 0).tobytes()
+
+
+def list_pairs(ids: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray, small: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of an index list that could be similar and are not yet known to be connected.
 
     The list is ordered by set size and cut into blocks that hold their bounds
@@ -72,7 +77,7 @@ def list_pairs(ids: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarra
     shared token leave too little overlap, or if all of it is connected.
     """
     order = np.lexsort((pos, n))
-    ids, n, pos, label = ids[order], n[order], pos[order], label[order]
+    ids, n, pos, label, small = ids[order], n[order], pos[order], label[order], small[order]
     side = None if side is None else side[order]
     at = range(0, len(n), BLOCK)
     low, high = [int(n[i]) for i in at], [int(n[min(i + BLOCK, len(n)) - 1]) for i in at]
@@ -97,8 +102,10 @@ def list_pairs(ids: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarra
             if x == y:
                 ok = np.triu(ok, 1)
             r, c = np.nonzero(ok)
-            a.append(ids[i + r])
-            b.append(ids[j + c])
+            differ = np.bitwise_count(small[i + r] ^ small[j + c]).sum(1, dtype=np.int64)
+            near = differ * (100 + percent) <= (n[i + r] + n[j + c]) * (100 - percent)
+            a.append(ids[i + r[near]])
+            b.append(ids[j + c[near]])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
@@ -111,8 +118,7 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 
     Equal sets are one class. Tokens are ordered rarest last only as far as a sketch of fixed size
     tells heavy ones apart; each set indexes its prefix, in which similar sets must share a token. First, each set is held
-    against the first set of each of its lists, and one that may be similar is
-    verified: whole groups of near copies connect in as many comparisons as they have members.
+    against the one that is first in most of its lists: whole groups of near copies connect in as many comparisons as they have members.
     Then the lists that still hold sets of several components are searched by
     blocks; pairs of connected sets are skipped, as their answer follows. Candidates pass a bound from parity sketches
     before their sets are compared. Lists are split over tasks at LIST sets, so none is gathered whole.
@@ -142,19 +148,19 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
                 s = shingle_set(t, size)
                 n = len(s)
                 if not n:
-                    out.append((0, None, None, None))
+                    out.append((0, None, None, None, None))
                     continue
                 order = np.lexsort((s, hot[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))
                 prefix = s[order[: n - -(-percent * n // 100) + 1]].view(np.int64)
-                out.append((n, class_id(s), prefix, parity(s)))
-            pdf = pd.DataFrame(out, columns=["n", "cid", "prefix", "parity"])
+                out.append((n, class_id(s), prefix, (sketch := parity(s)), folded(sketch)))
+            pdf = pd.DataFrame(out, columns=["n", "cid", "prefix", "parity", "small"])
             pdf["tid"] = [text_id(t) for t in b["text"]]
             pdf["cid"] = pd.array([x[1] for x in out], "Int64")
             pdf.insert(0, "doc_id", b["doc_id"].array)
             yield pdf
 
-    signed = cut(docs.mapInPandas(sign, "doc_id long, n long, cid long, prefix array<long>, parity binary, tid long"))
-    reps = cut(signed.where("n > 0").groupBy("cid", "n").agg(F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), F.min("tid").alias("tid")))
+    signed = cut(docs.mapInPandas(sign, "doc_id long, n long, cid long, prefix array<long>, parity binary, small binary, tid long"))
+    reps = cut(signed.where("n > 0").groupBy("cid", "n").agg(F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), F.first("small").alias("small"), F.min("tid").alias("tid")))
     posts = reps.select("cid", "n", F.posexplode("prefix").alias("pos", "tok"))
     lists = cut(posts.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("cid", "n")).alias("p")).where("c > 1").select("tok", "c", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn")))
     members = cut(posts.join(lists, "tok"))
@@ -204,8 +210,9 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         return cut(pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb").mapInPandas(compare, "a long, b long"))
 
     near = f"pn * {percent} <= n * 100 and n * {percent} <= pn * 100"
-    firsts = members.where("cid <> pivot").where(near).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = verified(cut(likely(firsts).groupBy("a").agg(F.min(F.struct("b", "ta", "tb")).alias("x")).select("a", "x.*")))
+    firsts = members.where("cid <> pivot").where(near).groupBy(F.col("cid").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("c"))
+    firsts = firsts.groupBy("a").agg(F.min(F.struct(-F.col("c"), "b")).alias("x")).select("a", "x.b")  # the first set of most of its lists
+    links = verified(cut(likely(firsts)))
     label = cut(components(links).select(F.col("id").alias("cid"), F.col("component").alias("label")))
 
     marked = members.join(label, "cid", "left").select("tok", "cid", "n", "pos", "c", F.coalesce("label", "cid").alias("label"))
@@ -214,21 +221,24 @@ def groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     own = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     spread = (
         marked.join(mixed, "tok")
+        .join(reps.select("cid", "small"), "cid")
         .withColumn("parts", parts)
         .withColumn("own", own)
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("tok", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), F.struct("cid", "n", "pos", "label", "own").alias("m"))
+        .select("tok", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), F.struct("cid", "n", "pos", "label", "small", "own").alias("m"))
     )
     listed = spread.groupBy("tok", "x", "y").agg(F.collect_list("m").alias("m")).where("size(m) > 1").select(
-        F.col("x") != F.col("y"), *[F.col(f"m.{k}").alias(k) for k in ("cid", "n", "pos", "label", "own")]
-    ).toDF("two", "cid", "n", "pos", "label", "own")
+        F.col("x") != F.col("y"), *[F.col(f"m.{k}").alias(k) for k in ("cid", "n", "pos", "label", "small", "own")]
+    ).toDF("two", "cid", "n", "pos", "label", "small", "own")
 
     def search(batches):
         for b in batches:
             a, c = [], []
             for two, *cols in b.itertuples(index=False):
-                ids, n, pos, lab, own = map(np.asarray, cols)
-                x, y = list_pairs(ids, n.astype(np.int64), pos.astype(np.int64), lab, percent, own if two else None)
+                ids, n, pos, lab, small, own = cols
+                ids, n, pos, lab, own = map(np.asarray, (ids, n, pos, lab, own))
+                small = np.frombuffer(b"".join(small), np.uint64).reshape(len(ids), -1)
+                x, y = list_pairs(ids, n.astype(np.int64), pos.astype(np.int64), lab, small, percent, own if two else None)
                 a.append(np.minimum(x, y))
                 c.append(np.maximum(x, y))
             if a:
