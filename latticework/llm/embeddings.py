@@ -14,6 +14,8 @@ from .common import components, cut, table
 COSINE = 0.9
 #: Vectors a cell on average, cells at most, vectors the centroids are fitted on at most, rows of a block.
 CELL, CELLS, SAMPLE, BLOCK = 512, 4_096, 32_768, 1_024
+#: How far a class visits, in deviations of the shift that a vector at the angle has along a random direction; None: as far as any can be.
+DEVIATIONS = 2.0
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -42,14 +44,15 @@ def _labels(link: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, cells: int = CELLS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, cells: int = CELLS, sample: int = SAMPLE, block: int = BLOCK, deviations: float | None = DEVIATIONS) -> DataFrame:
     """A row per vector: vec_id, n_links, component_id, kept.
 
     Equal vectors meet in one class first, which then counts as often as it has members.
     Centroids are fitted on at most `sample` classes (by the hash of the vector), all classes are
     assigned. A class is at home in its nearest cell and visits each lower-numbered
-    cell that a vector within the angle could be at home in: those whose dividing
-    plane is no farther than the angle. So no pair is missed and none is compared twice. Cells are
+    cell whose dividing plane is near. With deviations=None that is as far as the angle, and no pair can be missed;
+    otherwise as far as so many deviations of a shift at the angle in a random direction, sine / sqrt(length) each: all pairs
+    found are exact, few at the very angle are missed. No pair is compared twice. Cells are
     compared block by block; only counts and a spanning forest of each block's links leave it.
 
     Null and zero vectors, and those with null or non-finite components, link with nothing, as do those of
@@ -95,7 +98,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
             own = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("key")).limit(sample).select("u").toPandas()
             centroids[dim] = spherical_kmeans(np.stack([np.frombuffer(u) for u in own["u"]]), min(cells, -(-n // cell)))
     shared = spark.sparkContext.broadcast(centroids)
-    reach = np.sqrt(max(0.0, 1 - cosine * cosine)) + 1e-6  # sine of the largest angle
+    sine = np.sqrt(max(0.0, 1 - cosine * cosine)) + 1e-6
 
     def assign(batches):
         gaps: dict = {}
@@ -112,6 +115,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
                     s = np.stack([np.frombuffer(u) for u in part["u"]]) @ c.T
                     home = s.argmax(1)
                     far = (s[np.arange(len(s)), home][:, None] - s) / gaps[dim][home]
+                    reach = sine if deviations is None else min(sine, deviations * sine / np.sqrt(c.shape[1]))
                     visit = (far <= reach) & (np.arange(len(c))[None, :] < home[:, None])
                     r, k = np.nonzero(visit)
                     r, k = np.concatenate([np.arange(len(s)), r]), np.concatenate([home, k])
