@@ -43,7 +43,8 @@ class WordBPE:
         self.odd = re.compile("[\u0130\u03a3\x1c-\x1f]|<[|]").search
         self.last = np.zeros(self.lib.get_vocab_size(), bool)
         self.last[[i for t, i in self.lib.get_vocab().items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by word between white space
+        self.pieces: dict[str, bytes] = {}
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece, by one call for all: a piece's last token, and no other, has the mark of a word's end."""
@@ -63,11 +64,17 @@ class WordBPE:
             if len(known) > CACHE_WORDS:
                 known.clear()
                 new = list(set(words))
-            parts = list(map(self.split, new))
-            each, at = self._each([p for x in parts for p in x]), 0
-            for w, x in zip(new, parts):
-                known[w] = each[at] if len(x) == 1 else b"".join(each[at : at + len(x)])
-                at += len(x)
+            parts, pieces = list(map(self.split, new)), self.pieces
+            fresh = list({p for x in parts for p in x}.difference(pieces))
+            if fresh:
+                if len(pieces) > CACHE_WORDS:
+                    pieces.clear()
+                    fresh = list({p for x in parts for p in x})
+                pieces.update(zip(fresh, self._each(fresh)))
+            known.update((w, pieces[x[0]] if len(x) == 1 else b"".join(map(pieces.__getitem__, x))) for w, x in zip(new, parts))
+            for p in fresh:
+                if len(p) > CACHE_LENGTH:
+                    del pieces[p]
         out = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
         for w in new:
             if len(w) > CACHE_LENGTH:
