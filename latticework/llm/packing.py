@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from collections import deque
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +24,34 @@ WINDOW, END, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 HELD = 1 << 21
 #: Sequences that end partitions: so many partitions' tails are packed together.
 TAILS = 64
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+#: Words kept in each of two generations, the longest kept, characters that are encoded in one go.
+CACHE_WORDS, CACHE_LENGTH, CHUNK = 500_000, 64, 1 << 22
+
+
+class Recent(dict):
+    """A dict that forgets: beyond CACHE_WORDS keys, those that were not asked for since the last time it was full."""
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def missing(self, keys: list) -> list:
+        """The keys that it doesn't hold; the others can be looked up until the next call."""
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        new = [k for k in keys if k not in self]
+        if self.old:
+            old = self.old
+            self.update((k, old[k]) for k in new if k in old)
+            new = [k for k in new if k not in old]
+        return new
 
 
 class WordBPE:
     """Ids of the tokenizers library for word_bpe_49k.json, without special tokens.
 
-    The file's own normaliser and split are applied here, so that each distinct
-    word goes to the library once and is then looked up.
+    The file's own normaliser is applied here, so that each distinct word
+    between white space goes to the library once and is then looked up.
     """
 
     def __init__(self, name: str):
@@ -40,46 +62,56 @@ class WordBPE:
         # Fixed value: the split of word_bpe_49k.json.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         # What isn't the same word by word: lower-casing by place, special tokens' strings, controls that only Python calls white space.
-        self.odd = re.compile("[\u0130\u03a3\x1c-\x1f]|<[|]").search
+        self.odd = ("\u0130", "\u03a3", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
         self.last = np.zeros(self.lib.get_vocab_size(), bool)
         self.last[[i for t, i in self.lib.get_vocab().items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}  # by word between white space
-        self.pieces: dict[str, bytes] = {}
+        self.known = Recent()
 
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, by one call for all: a piece's last token, and no other, has the mark of a word's end."""
-        ids = np.array(self.lib.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+    def _each(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, by one call for all: the last token of a word's each piece, and no other, has the mark of an end."""
+        ids = np.array(self.lib.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(pieces):
-            return [np.array(self.lib.encode(p, add_special_tokens=False).ids, np.uint32).tobytes() for p in pieces]
-        raw = ids.tobytes()
-        return [raw[a * 4 : b * 4] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-    def ids(self, text: str) -> np.ndarray:
-        if self.odd(text):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
-        words, known = unicodedata.normalize("NFC", text).lower().split(), self.known
-        new = list(set(words).difference(known))
+        pieces = np.cumsum([1 if w.isalpha() else len(self.split(w)) for w in words])
+        if len(ends) != pieces[-1]:
+            return [self._whole(w).tobytes() for w in words]
+        raw, ends = ids.tobytes(), (np.concatenate([[0], ends])[pieces] * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. Texts go CHUNK characters at a time, so that their new words are encoded in one call."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size > CHUNK:
+                yield from self._chunk(held)
+                held, size = [], 0
+        yield from self._chunk(held)
+
+    def _chunk(self, texts: list[str]) -> Iterator[np.ndarray]:
+        odd = [any(x in t for x in self.odd) for t in texts]
+        split = pc.utf8_split_whitespace(pa.array(["" if o else unicodedata.normalize("NFC", t).lower() for t, o in zip(texts, odd)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words, known = coded.dictionary.to_pylist(), self.known
+        known[""] = b""  # at a text's ends
+        new = known.missing(words)
         if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            parts, pieces = list(map(self.split, new)), self.pieces
-            fresh = list({p for x in parts for p in x}.difference(pieces))
-            if fresh:
-                if len(pieces) > CACHE_WORDS:
-                    pieces.clear()
-                    fresh = list({p for x in parts for p in x})
-                pieces.update(zip(fresh, self._each(fresh)))
-            known.update((w, pieces[x[0]] if len(x) == 1 else b"".join(map(pieces.__getitem__, x))) for w, x in zip(new, parts))
-            for p in fresh:
-                if len(p) > CACHE_LENGTH:
-                    del pieces[p]
-        out = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
+            known.update(zip(new, self._each(new)))
+        raw = list(map(known.__getitem__, words))
+        flat, n = np.frombuffer(b"".join(raw), np.uint32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        at, first = coded.indices.to_numpy(), np.cumsum(n) - n
+        sizes = n[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(first[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        for i, t in enumerate(texts):
+            yield self._whole(t) if odd[i] else ids[cuts[i] : cuts[i + 1]]
         for w in new:
             if len(w) > CACHE_LENGTH:
                 del known[w]
-        return out
 
 
 @lru_cache(1)
@@ -198,8 +230,8 @@ def pack(docs: DataFrame, shares: dict | None = None, window: int = WINDOW, toke
 
         for b in batches:
             out = []
-            for doc, text, source in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["text"], b["source"]):
-                ids = np.append(coder.ids(text), np.uint32(END))
+            for doc, ids, source in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), coder.ids(b["text"].tolist()), b["source"]):
+                ids = np.append(ids, np.uint32(END))
                 packer.add(source, (doc, 0, ids, len(ids), len(ids)))
                 if packer.held > HELD:
                     while packer.held > HELD // 2:
