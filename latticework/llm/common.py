@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +47,19 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def by_size(texts: Iterable[str | None], most: int) -> Iterator[list]:
+    """Runs of texts that have most characters or a little over."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def crc_mod(col: str, n: int):
     """crc32 of a column as text, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

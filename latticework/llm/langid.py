@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -10,12 +11,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import by_size, crc_mod, table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Longest piece in characters; characters of a word that are scored in one go; a character without a piece.
 PIECE, RUN, UNKNOWN = 16, 32, 1e-7
-CACHE_WORDS = 500_000
+#: Words kept by a task; words that are split in one call; characters that are scored in one go.
+CACHE_WORDS, SLICE, CHUNK = 300_000, 1 << 15, 1 << 22
 UNDETERMINED = "und"
 
 
@@ -48,20 +50,17 @@ def train(docs: DataFrame, smooth: float = 0.5) -> tuple[list[str], np.ndarray]:
 
     def count(batches):
         sp = _processor()
-        size, known, total = sp.get_piece_size(), {}, {}
+        size, total = sp.get_piece_size(), {}
         for b in batches:
             for lang, texts in b.groupby("lang")["text"]:
                 seen: Counter = Counter()
                 for t in texts:
                     seen.update(t.lower().split())
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                new = [w for w in seen if w not in known]
-                known.update(zip(new, sp.encode(new, out_type=int, num_threads=1)))
-                ids = [known[w] for w in seen]
-                n = [len(x) for x in ids]
-                flat = np.fromiter((i for x in ids for i in x), np.int64, sum(n))
-                total[lang] = total.get(lang, 0) + np.bincount(flat, np.repeat(np.fromiter(seen.values(), np.float64, len(seen)), n), size)
+                own, times = total.setdefault(lang, np.zeros(size)), iter(seen.items())
+                while some := list(islice(times, SLICE)):
+                    ids = sp.encode([w for w, _ in some], out_type=int, num_threads=1)
+                    n = list(map(len, ids))
+                    own += np.bincount(np.fromiter(chain.from_iterable(ids), np.int64, sum(n)), np.repeat(np.array([c for _, c in some], np.float64), n), size)
         for lang, c in total.items():
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "piece": at, "n": c[at].astype(np.int64)})
@@ -125,13 +124,7 @@ class Scorer:
         return np.log(np.maximum(reach[n], 1e-300))
 
     def text(self, runs: list[str]) -> np.ndarray:
-        """The sum over a text's words."""
-        new = list(set(runs).difference(self.at))
-        if new:
-            if len(self.at) > CACHE_WORDS:
-                self.at.clear()
-                new = list(set(runs))
-            self.learn(new)
+        """The sum over a text's words, all of which it has learned."""
         return self.rows[list(map(self.at.__getitem__, runs))].sum(0)
 
     def learn(self, runs: list[str]) -> None:
@@ -161,22 +154,21 @@ def predict(docs: DataFrame, langs: list[str], probabilities: np.ndarray, *keep:
     def run(batches):
         scorer = Scorer(model.value)
         for b in batches:
-            texts = [_runs(t) if t is not None and any(map(str.isalpha, t)) else None for t in b["text"]]
-            if len(scorer.at) > CACHE_WORDS:
-                scorer.at.clear()
-            new = set().union(*(x for x in texts if x)).difference(scorer.at)
-            if len(new) <= CACHE_WORDS:
-                scorer.learn(list(new))
             pred, score = [], []
-            for runs in texts:
-                if not runs:
-                    pred.append(UNDETERMINED)
-                    score.append(0.0)
-                    continue
-                s = scorer.text(runs)
-                k = int(s.argmax())
-                pred.append(langs[k])
-                score.append(float(1 / np.exp(s - s[k]).sum()))
+            for some in by_size(b["text"], CHUNK):
+                texts = [_runs(t) if t is not None and any(map(str.isalpha, t)) else None for t in some]
+                if len(scorer.at) > CACHE_WORDS:
+                    scorer.at.clear()
+                scorer.learn(list(set().union(*filter(None, texts)).difference(scorer.at)))
+                for runs in texts:
+                    if not runs:
+                        pred.append(UNDETERMINED)
+                        score.append(0.0)
+                        continue
+                    s = scorer.text(runs)
+                    k = int(s.argmax())
+                    pred.append(langs[k])
+                    score.append(float(1 / np.exp(s - s[k]).sum()))
             yield b[list(keep)].assign(**{pred_col: pred, score_col: score})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)

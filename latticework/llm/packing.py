@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import by_size, cut, table
 
 WINDOW, END, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: Ids that a task holds at once; beyond it, it packs full windows of what it has.
@@ -25,7 +25,7 @@ HELD = 1 << 21
 #: Sequences that end partitions: so many partitions' tails are packed together.
 TAILS = 64
 #: Words kept in each of two generations, the longest kept, characters that are encoded in one go.
-CACHE_WORDS, CACHE_LENGTH, CHUNK = 500_000, 64, 1 << 22
+CACHE_WORDS, CACHE_LENGTH, CHUNK = 250_000, 64, 1 << 22
 
 
 class Recent(dict):
@@ -82,14 +82,8 @@ class WordBPE:
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text. Texts go CHUNK characters at a time, so that their new words are encoded in one call."""
-        held, size = [], 0
-        for t in texts:
-            held.append(t)
-            size += len(t)
-            if size > CHUNK:
-                yield from self._chunk(held)
-                held, size = [], 0
-        yield from self._chunk(held)
+        for some in by_size(texts, CHUNK):
+            yield from self._chunk(some)
 
     def _chunk(self, texts: list[str]) -> Iterator[np.ndarray]:
         odd = [any(x in t for x in self.odd) for t in texts]

@@ -240,6 +240,7 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not s else sum((p[pieces[s[:n]], k] if s[:n] in pieces else langid.UNKNOWN if n == 1 else 0.0) * total(s[n:], k) for n in range(1, min(16, len(s)) + 1))
 
     for w in ("▁the", "▁queñ", "▁xyzzy"):
+        scorer.learn([w])
         assert scorer.text([w]) == pytest.approx(np.log([total(w, 0), total(w, 1)]))
 
 
