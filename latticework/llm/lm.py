@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, table, tree_merge, words
+from .common import by_size, crc_mod, cut, table, tree_merge
 
 #: The end of a text as a token; no word is like it, as words hold no space.
 END = " "
 #: Words whose counts all tasks have; the rest are joined. Words that the neural model tells apart.
 HEAD, CLASSES = 65_536, 1_023
+#: Characters that are taken in one go.
+CHUNK = 1 << 23
 DIMENSIONS, STEPS, BATCH, NOISE = 32, 1_500, 1_024, 10
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*words(text), END.encode()]
+def coded(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words, tokens, starts): distinct words, the end last; each token's place among them; where each text's tokens start."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    flat = split.flatten().dictionary_encode()
+    own, at, ends = flat.dictionary.to_pylist(), flat.indices.to_numpy(), split.offsets.to_numpy()[1:]
+    if "" in own:  # at a text's ends
+        real = at != own.index("")
+        at, ends = at[real], np.concatenate([[0], np.cumsum(real)])[ends]
+    return [*own, END], np.insert(at.astype(np.int64), ends, len(own)), np.concatenate([[0], ends[:-1]]) + np.arange(len(texts))
 
 
 def train_nce(pairs: np.ndarray, dimensions: int = DIMENSIONS, steps: int = STEPS, batch: int = BATCH, noise: int = NOISE, seed: int = 7) -> np.ndarray:
@@ -88,27 +97,32 @@ def score_documents(docs: DataFrame, held: int = 0, folds: int = 10, head: int =
 
     def count(batches):
         for b in batches:
-            seen: Counter = Counter()
-            for t in b["text"]:
-                seen.update(tokens(t))
-            yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in seen], "c": list(seen.values())})
+            for some in by_size(b["text"], CHUNK):
+                own, at, _ = coded(some)
+                c = np.bincount(at, minlength=len(own))
+                yield pd.DataFrame({"word": own, "c": c})[c > 0]
 
     counts = cut(training.mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(head).collect()
-    known = {r["word"].encode(): int(r["c"]) for r in top}
-    ids = {w: i + 1 for i, w in enumerate(w for w in [r["word"].encode() for r in top[: classes + 1]] if w != END.encode()) if i < classes - 1}
-    ids[END.encode()] = 0
+    known = {r["word"]: int(r["c"]) for r in top}
+    ids = {w: i + 1 for i, w in enumerate(w for w in [r["word"] for r in top[: classes + 1]] if w != END) if i < classes - 1}
+    ids[END] = 0
     k = len(ids) + 1  # the last class is of all other words
     shared = docs.sparkSession.sparkContext.broadcast((known, ids))
 
+    def steps(own, at, ids):
+        """Each token's class, and its place in a table by context and class: a text's first token follows an end."""
+        x = np.fromiter((ids.get(w, k - 1) for w in own), np.int64, len(own))[at]
+        return x, np.concatenate([[0], x[:-1]]) * k + x
+
     def pair_up(batches):
         ids = shared.value[1]
         out = np.zeros(k * k, np.int64)
         for b in batches:
-            for t in b["text"]:
-                x = np.fromiter((ids.get(w, k - 1) for w in tokens(t)), np.int64)
-                np.add.at(out, np.concatenate([[0], x[:-1]]) * k + x, 1)
+            for some in by_size(b["text"], CHUNK):
+                own, at, _ = coded(some)
+                out += np.bincount(steps(own, at, ids)[1], minlength=k * k)
         return out
 
     pairs = tree_merge(training, pair_up, np.add, k * k, "int64").reshape(k, k)
@@ -120,21 +134,23 @@ def score_documents(docs: DataFrame, held: int = 0, folds: int = 10, head: int =
     def score(batches):
         known, ids = shared.value
         logp = table_.value.ravel()
-        logs = {w: np.log10(c + 0.1) for w, c in known.items()}
         for b in batches:
-            out = []
-            for t in b["text"]:
-                own = tokens(t)
-                x = np.fromiter((ids.get(w, k - 1) for w in own), np.int64, len(own))
-                neural = float(logp[np.concatenate([[0], x[:-1]]) * k + x].sum(dtype=np.float64))
-                seen = Counter(own)
-                tail = [(w, c) for w, c in seen.items() if w not in known]
-                base = sum(logs[w] * c for w, c in seen.items() if w in known)
-                within = sum(logs[w] * c for w, c in seen.items() if w in known and w not in ids)
-                missing = sum(c for _, c in tail)
-                out.append((len(own), len(own) - missing, int((x == k - 1).sum()), base, within, neural, [w.decode("utf-8", "replace") for w, _ in tail], [c for _, c in tail]))
-            pdf = pd.DataFrame(out, columns=["n_tokens", "known", "rare", "base", "within", "neural", "tail", "times"])
-            yield pd.concat([b[["doc_id", "held_out", "row"]], pdf], axis=1)
+            done = []
+            for some in by_size(b["text"], CHUNK):
+                own, at, starts = coded(some)
+                x, place = steps(own, at, ids)
+                c = np.fromiter((known.get(w, 0) for w in own), np.float64, len(own))
+                has, logs = c > 0, np.where(c > 0, np.log10(c + 0.1), 0.0)
+                has, logs, rare = has[at], logs[at], x == k - 1
+                sums = [np.add.reduceat(v, starts) for v in (has.astype(np.int64), rare.astype(np.int64), logs, np.where(rare, logs, 0.0), logp[place].astype(np.float64))]
+                n = np.diff(starts, append=len(at))
+                left, times = np.unique(np.repeat(np.arange(len(n)) * len(own), n)[~has] + at[~has], return_counts=True)
+                cuts = np.searchsorted(left, np.arange(len(n) + 1) * len(own)).tolist()
+                tail, times = [own[i] for i in (left % len(own)).tolist()], times.tolist()
+                lists = [[v[i:j] for i, j in zip(cuts, cuts[1:])] for v in (tail, times)]
+                done.append(pd.DataFrame(dict(zip(["n_tokens", "known", "rare", "base", "within", "neural", "tail", "times"], [n, *sums, *lists]))))
+            if done:
+                yield pd.concat([b[["doc_id", "held_out", "row"]].reset_index(drop=True), pd.concat(done, ignore_index=True)], axis=1)
 
     rows = docs.withColumn("row", F.monotonically_increasing_id())
     scored = cut(rows.mapInPandas(score, "doc_id long, held_out boolean, row long, n_tokens long, known long, rare long, base double, within double, neural double, tail array<string>, times array<long>"))
