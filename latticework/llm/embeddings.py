@@ -14,8 +14,8 @@ from .common import components, cut, table
 COSINE = 0.9
 #: Vectors a cell on average, cells at most, vectors the centroids are fitted on at most, rows of a block.
 CELL, CELLS, SAMPLE, BLOCK = 512, 4_096, 32_768, 1_024
-#: How far a class visits, in deviations of the shift that a vector at the angle has along a random direction; None: as far as any can be.
-DEVIATIONS = 2.0
+#: How far a class visits, in deviations of the shift that a vector at the angle has along a random direction; None: as far as any can be, so that no pair is missed.
+DEVIATIONS = None
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -52,7 +52,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
     assigned. A class is at home in its nearest cell and visits each lower-numbered
     cell whose dividing plane is near. With deviations=None that is as far as the angle, and no pair can be missed;
     otherwise as far as so many deviations of a shift at the angle in a random direction, sine / sqrt(length) each: all pairs
-    found are exact, few at the very angle are missed. No pair is compared twice. Cells are
+    found are exact, but pairs are missed, many of them where vectors fill few of their dimensions. No pair is compared twice. Cells are
     compared block by block; only counts and a spanning forest of each block's links leave it.
 
     Null and zero vectors, and those with null or non-finite components, link with nothing, as do those of
