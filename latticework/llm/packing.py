@@ -22,6 +22,8 @@ from .common import by_size, cut, table
 WINDOW, END, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: Ids that a task holds at once; beyond it, it packs full windows of what it has.
 HELD = 1 << 21
+#: Ids of a packing task.
+TASK = 1 << 21
 #: Sequences that end partitions: so many partitions' tails are packed together.
 TAILS = 64
 #: Words kept in each of two generations, the longest kept, characters that are encoded in one go.
@@ -175,13 +177,43 @@ class Packer:
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
+def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """A row per document of (doc_id, text, source): doc_id, source, n and its ids, the end last.
+
+    turn numbers each source's documents of a partition, from a place that differs by partition and source: turn modulo n
+    deals every source evenly over n tasks.
+    """
+
+    def encode(batches):
+        from pyspark import TaskContext
+
+        coder, part, turns = _coder(tokenizer), TaskContext.get().partitionId(), {}
+
+        def turn(source):
+            turns[source] = turns[source] + 1 if source in turns else zlib.crc32(f"{part} {source}".encode("utf-8", "surrogatepass"))
+            return turns[source]
+
+        kind = np.uint16 if coder.lib.get_vocab_size() <= 1 << 16 else np.uint32
+        for b in batches:
+            ids = [np.append(x, np.uint32(END)).astype(kind) for x in coder.ids(b["text"].tolist())]
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "source": b["source"].array, "turn": [turn(x) for x in b["source"]], "n": [len(x) for x in ids], "wide": kind is np.uint32, "ids": [x.tobytes() for x in ids]})
+
+    return docs.mapInPandas(encode, "doc_id long, source string, turn long, n long, wide boolean, ids binary")
+
+
+def targets(coded: DataFrame) -> DataFrame:
+    """(source, share): each source's ids, of all sources."""
+    return coded.groupBy("source").agg(F.sum("n").cast("double").alias("share"))
+
+
 def pack(docs: DataFrame, shares: dict | None = None, window: int = WINDOW, tokenizer: str = TOKENIZER, source_col: str = "source") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     shares: target proportions of sources by name; sources without one get none
     of the target but are packed all the same. Without shares, each source's
-    share of all characters. Each task packs the documents of its partition,
-    carrying deficits from window to window; it holds at most HELD ids. The
+    share of all ids, however many sources there are. Documents are tokenized first and then dealt
+    evenly over tasks of about TASK ids, so that each task has its part of every source whatever the
+    table's layout; a task carries deficits from window to window and holds at most HELD ids. The
     last, shorter window of a task is not padded: its pieces go on, with those of other
     tasks, to a second round in which whole pieces fill windows, most owed sources first;
     the deficits of those tasks are summed there.
@@ -195,17 +227,21 @@ def pack(docs: DataFrame, shares: dict | None = None, window: int = WINDOW, toke
         docs = docs.withColumn(source_col, F.lit("all"))
     src = F.coalesce(F.col(source_col).cast("string"), F.lit("\u0000null")).alias("source")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), src)
+    coded = cut(encoded(docs, tokenizer))
     if shares is None:
-        # One row a source; beyond 10,000 sources the largest have shares, the rest are served from what room is left.
-        top = docs.groupBy("source").agg(F.sum(F.length("text") + 1).alias("n")).orderBy(F.desc("n"), "source").limit(10_000).collect()
-        total = sum(r["n"] for r in top) or 1
-        shares = {r["source"]: r["n"] / total for r in top}
+        whole = cut(targets(coded))
+        dealt, total = coded.join(whole, "source"), whole.agg(F.sum("share")).first()[0]
+    else:
+        given = docs.sparkSession.sparkContext.broadcast(shares)
+        dealt, total = coded.withColumn("share", F.lit(None).cast("double")), coded.agg(F.sum("n")).first()[0]
+    tasks = max(1, -(-int(total or 0) // TASK))
+    dealt = dealt.repartitionById(tasks, (F.col("turn") % tasks).cast("int"))
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder, packer, done = _coder(tokenizer), Packer(shares, window), 0
+        packer, done = Packer({} if shares is None else given.value, window), 0
 
         def rows(windows):
             nonlocal done
@@ -224,8 +260,10 @@ def pack(docs: DataFrame, shares: dict | None = None, window: int = WINDOW, toke
 
         for b in batches:
             out = []
-            for doc, ids, source in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), coder.ids(b["text"].tolist()), b["source"]):
-                ids = np.append(ids, np.uint32(END))
+            for doc, ids, wide, source, share in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["ids"], b["wide"], b["source"], b["share"]):
+                ids = np.frombuffer(ids, np.uint32 if wide else np.uint16).astype(np.uint32)
+                if shares is None:
+                    packer.shares[source] = share
                 packer.add(source, (doc, 0, ids, len(ids), len(ids)))
                 if packer.held > HELD:
                     while packer.held > HELD // 2:
@@ -240,7 +278,7 @@ def pack(docs: DataFrame, shares: dict | None = None, window: int = WINDOW, toke
         if packer.held:
             yield frame(rest := rows([packer.fill()]), True).assign(deficit=[packer.deficit[r[7]] for r in rest])
 
-    laid = cut(docs.mapInPandas(run, PIECE + ", tail boolean, part long, deficit double"))
+    laid = cut(dealt.mapInPandas(run, PIECE + ", tail boolean, part long, deficit double"))
     names = [c.split()[0] for c in PIECE.split(", ")]
 
     def join_tails(key, pdf):
