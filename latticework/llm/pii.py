@@ -8,13 +8,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import numbered, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of an entity at most; tokens on either side of a trigger that the field sees.
-LONGEST, REACH = 24, 12
+#: Tokens of an entity at most: an address has 254 characters. Of the others, ip_six is the longest, with 50.
+LONGEST = 254
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -55,7 +56,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
-_TRIGGER = re.compile(r"[0-9]{3}|@|\b[Dd][Oo][Tt]\b|::")
+#: Some part of every shape that can be an entity.
+_TRIGGER = re.compile(r"[0-9]{3}|@|\b[Dd][Oo][Tt]\b|::|[\[({<]\s?(?:at|AT)\s?[\])}>]|[\[({]\s?(?:dot|DOT|\.)\s?[\])}]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]")
 #: Whole-span shapes: a candidate of more than one token must have one of them.
 _SHAPES = [
     ("email_tagged", re.compile(r"[A-Za-z0-9._%+-]+\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?[A-Za-z0-9-]+(?:\s?(?:[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]|\.)\s?[A-Za-z0-9-]+)+")),
@@ -70,6 +72,7 @@ _SHAPES = [
     ("date", re.compile(r"(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}")),
     ("number", re.compile(r"[0-9]+(?:[.,][0-9]+)*")),
 ]
+_BEGUN = [(n, regex.compile(p.pattern).fullmatch) for n, p in _SHAPES]
 _CLUES = {
     "email": {"email", "mail", "contact", "write", "reach"},
     "ip": {"ip", "host", "server", "address", "node", "client"},
@@ -112,7 +115,13 @@ def _lattice(text: str, tokens) -> list[tuple[int, int, list[str]]]:
         out.append((i, i + 1, _features(text, tokens, i, i + 1)))
         if not (first[0].isalnum() or first[0] == "("):
             continue
-        for j in range(i + 2, min(len(tokens), i + LONGEST) + 1):
+        begun = _BEGUN
+        for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
+            begun = [x for x in begun if x[1](text, tokens[i][1], tokens[j - 1][2], partial=True)]
+            if not begun:  # no longer segment has a shape
+                break
+            if j == i + 1:
+                continue
             if tokens[j - 1][0][0].isalnum() or tokens[j - 1][0] in ")]}>":
                 f = _features(text, tokens, i, j)
                 if f:
@@ -257,8 +266,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: SemiMarkov)
             windows.append([a, b])
     out = []
     for a, b in windows:
-        while a and not text[a - 1].isspace() and text[a].isalnum() and a > 0 and b - a < 4096:
+        least, most = max(0, a - LONGEST), min(len(text), b + LONGEST)
+        while a > least and not text[a - 1].isspace():
             a -= 1
+        while b < most and not text[b].isspace():
+            b += 1
         tokens = _tokens(text, a, b)
         for i in range(0, len(tokens), 400):  # long windows in overlapping parts: an entity is whole in one of them
             part = tokens[max(0, i - 2 * LONGEST) : i + 400]
