@@ -16,7 +16,6 @@ RULES = {"symbols": 0.02, "upper": 0.02, "exclaim": 0.02, "dup_lines": 0.02, "re
 GRID = 50
 #: At most this share of good documents falsely rejected by a stratum's rules, with this confidence for all strata and rules.
 RISK, ERROR = 0.03, 0.05
-STRATA = 1_000
 
 
 def _let(value: Column, body) -> Column:
@@ -96,14 +95,13 @@ def binomial_below(n: Column, k: Column, p: float) -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """(stratum, rule, cutoff) for each stratum of measured and rule that a cutoff is certified for.
 
-    For each stratum, and for all together, each grid cutoff's false rejections among
+    For each stratum, each grid cutoff's false rejections among
     good labelled documents are tested: certified if so few would come with
     probability at most the error, were the true share over risk / rules. Cutoffs are tested from the
     loosest down and end at the first that fails, so the grid costs no correction; strata
     and rules share the error (Bonferroni). Of the certified cutoffs, that with
     the most rejected bad documents less ten times the good ones is taken, the
-    loosest on ties, and none that rejects no bad document. A stratum without a certified cutoff takes
-    the one for all together, if any.
+    loosest on ties, and none that rejects no bad document. A stratum without a certified cutoff for a rule has none.
     """
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     step = F.create_map(*[x for r, s in RULES.items() for x in (F.lit(r), F.lit(s))])
@@ -115,7 +113,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: f
     good_ = F.sum((F.col("quality") > 0).cast("long"))
     bad_ = F.sum((F.col("quality") <= 0).cast("long"))
     counts = bins.groupBy("stratum", "rule", "bin").agg(good_.alias("good"), bad_.alias("bad"))
-    counts = cut(counts.union(counts.groupBy(F.lit("").alias("stratum"), "rule", "bin").agg(F.sum("good"), F.sum("bad"))))
+    counts = cut(counts)
     names = counts.select("stratum", "rule").distinct()
     full = names.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(GRID + 1)))).join(counts, ["stratum", "rule", "bin"], "left").na.fill(0, ["good", "bad"])
     over = Window.partitionBy("stratum", "rule").orderBy(F.desc("bin"))
@@ -141,19 +139,17 @@ def judge(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", risk: f
     """A row per document: doc_id, counts, base_failed, kept.
 
     kept is false where base_failed, and where a figure is over the stratum's cutoff
-    for it. A null text has no words and fails; a null stratum is one of its own. At most STRATA
-    strata, those with the most labels, have cutoffs of their own. Without labels no cutoff is certified
-    and base_failed alone decides. Repeated rows are judged alike; labels that
+    for it. A null text has no words and fails; a null stratum is one of its own. Where no cutoff is certified
+    base_failed alone decides. Repeated rows are judged alike; labels that
     contradict each other count as bad.
     """
     stratum = F.concat(F.lit("="), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\u0000"))) if stratum_col in docs.columns else F.lit("=")
     measured = cut(figures(docs.select("doc_id", "text", stratum.alias("stratum")), "doc_id", "stratum"))
     found = cutoffs(measured, labels, risk, error)
     by = found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    by = cut(by.orderBy("stratum").limit(STRATA + 1))  # the empty name, for all together, comes first
-    common = by.where("stratum = ''").select(F.col("cutoffs").alias("common"))
-    joined = measured.join(F.broadcast(by.where("stratum <> ''")), "stratum", "left").join(F.broadcast(common), F.lit(True), "left")
-    over = [F.coalesce(F.col(f"rule.{r}") > F.coalesce(F.col("cutoffs")[r], F.col("common")[r]), F.lit(False)) for r in RULES]
+    # Broadcast whole: a certificate takes hundreds of good labels, so the rows are few against the labels.
+    joined = measured.join(F.broadcast(cut(by)), "stratum", "left")
+    over = [F.coalesce(F.col(f"rule.{r}") > F.col("cutoffs")[r], F.lit(False)) for r in RULES]
     rejected = over[0]
     for x in over[1:]:
         rejected = rejected | x
