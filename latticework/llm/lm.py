@@ -21,6 +21,8 @@ CHUNK = 1 << 23
 DIMENSIONS, PASSES, BATCH, NOISE, WEIGHT, VISITS = 32, 2, 4_096, 128, 16, 1_024
 #: Groups of pairs at least, training tokens and pairs of a group's blocks.
 GROUPS, GROUP_TOKENS, BLOCK = 256, 1 << 23, 1 << 16
+#: Training tokens of a training task at least.
+TASK_TOKENS = 1 << 20
 
 
 def coded(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -213,7 +215,7 @@ def score_documents(docs: DataFrame, held: int = 0, folds: int = 10, head: int =
     share[list(ids.values())] = [known.get(w, 0) for w in ids]
     share[-1] = rare_n
     if n:
-        r, q, c, b = train(cut(pair_counts(training, pair_up, max(GROUPS, -(-n // GROUP_TOKENS)))), (share + 0.5) / (n + 0.5 * k))
+        r, q, c, b = train(cut(pair_counts(training, pair_up, max(GROUPS, -(-n // GROUP_TOKENS)))).coalesce(-(-n // TASK_TOKENS)), (share + 0.5) / (n + 0.5 * k))
         h = r @ c
     else:
         h, q, b = np.zeros((k, 1), np.float32), np.zeros((k, 1), np.float32), np.zeros(k, np.float32)
