@@ -7,6 +7,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_size, cut, table
+from .common import by_size, cut, map_frames, scratch, table
 
 WINDOW, END, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: Ids that a task holds at once; beyond it, it packs full windows of what it has.
@@ -26,58 +27,47 @@ HELD = 1 << 21
 TASK = 1 << 21
 #: Sequences that end partitions: so many partitions' tails are packed together.
 TAILS = 64
-#: Words kept in each of two generations, the longest kept, characters that are encoded in one go.
-CACHE_WORDS, CACHE_LENGTH, CHUNK = 250_000, 64, 1 << 22
+#: Characters that are encoded in one go.
+CHUNK = 1 << 23
 
 
-class Recent(dict):
-    """A dict that forgets: beyond CACHE_WORDS keys, those that were not asked for since the last time it was full."""
-
-    def __init__(self):
-        self.old: dict = {}
-
-    def missing(self, keys: list) -> list:
-        """The keys that it doesn't hold; the others can be looked up until the next call."""
-        if len(self) > CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        new = [k for k in keys if k not in self]
-        if self.old:
-            old = self.old
-            self.update((k, old[k]) for k in new if k in old)
-            new = [k for k in new if k not in old]
-        return new
+def _spread(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows at the places, one after the other; their sizes), of a flat array of rows of those sizes."""
+    own = sizes[at]
+    ends, first = np.cumsum(own), np.cumsum(sizes) - sizes
+    return flat[np.repeat(first[at] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)], own
 
 
 class WordBPE:
-    """Ids of the tokenizers library for word_bpe_49k.json, without special tokens.
+    """Ids of the tokenizers library for word_bpe_49k.json, no special tokens added.
 
-    The file's own normaliser is applied here, so that each distinct word
-    between white space goes to the library once and is then looked up.
+    As in the library, the strings of special tokens in a text are those tokens unless plain is set.
+    The file's own normaliser and split are applied here, so that each distinct piece
+    of CHUNK characters goes to the library once.
     """
 
-    def __init__(self, name: str):
-        from tokenizers import Tokenizer
+    def __init__(self, name: str, plain: bool = False):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(public_tokenizers.path(name))
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = plain
         # Fixed value: the split of word_bpe_49k.json.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         # What isn't the same word by word: lower-casing by place, special tokens' strings, controls that only Python calls white space.
         self.odd = ("\u0130", "\u03a3", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
         self.last = np.zeros(self.lib.get_vocab_size(), bool)
         self.last[[i for t, i in self.lib.get_vocab().items() if t.endswith("</w>")]] = True
-        self.known = Recent()
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, by one call for all: the last token of a word's each piece, and no other, has the mark of an end."""
-        ids = np.array(self.lib.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        # The same model for pieces that are split and normalised already.
+        self.bare = Tokenizer(self.lib.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, how many each has), by one call: the last token of each piece, and no other, has the mark of an end."""
+        ids = np.array(self.bare.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
-        pieces = np.cumsum([1 if w.isalpha() else len(self.split(w)) for w in words])
-        if len(ends) != pieces[-1]:
-            return [self._whole(w).tobytes() for w in words]
-        raw, ends = ids.tobytes(), (np.concatenate([[0], ends])[pieces] * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+        if len(ends) == len(pieces):
+            return ids, np.diff(ends, prepend=0)
+        each = [self._whole(p) for p in pieces]
+        return np.concatenate([np.zeros(0, np.uint32), *each]), np.array(list(map(len, each)), np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -91,31 +81,29 @@ class WordBPE:
         odd = [any(x in t for x in self.odd) for t in texts]
         split = pc.utf8_split_whitespace(pa.array(["" if o else unicodedata.normalize("NFC", t).lower() for t, o in zip(texts, odd)], pa.large_string()))
         coded = split.flatten().dictionary_encode()
-        words, known = coded.dictionary.to_pylist(), self.known
-        known[""] = b""  # at a text's ends
-        new = known.missing(words)
-        if new:
-            known.update(zip(new, self._each(new)))
-        raw = list(map(known.__getitem__, words))
-        flat, n = np.frombuffer(b"".join(raw), np.uint32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        at, first = coded.indices.to_numpy(), np.cumsum(n) - n
-        sizes = n[at]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = flat[np.repeat(first[at] - ends[:-1], sizes) + np.arange(ends[-1])]
-        cuts = ends[split.offsets.to_numpy()].tolist()
+        words = coded.dictionary
+        # A word of letters alone is one piece.
+        one = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+        parts = list(map(self.split, words.filter(pa.array(~one)).to_pylist()))
+        count = np.ones(len(words), np.int64)
+        count[~one] = list(map(len, parts))
+        pieces = pa.concat_arrays([words.filter(pa.array(one)), pa.array(list(chain.from_iterable(parts)), words.type)]).dictionary_encode()
+        # Pieces stand with words of one piece first; by word, they are:
+        place = np.argsort(np.concatenate([np.flatnonzero(one), np.repeat(np.flatnonzero(~one), count[~one])]), kind="stable")
+        by_piece, sizes = _spread(*self._pieces(pieces.dictionary.to_pylist()), pieces.indices.to_numpy()[place])
+        reach = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(count)]
+        ids, sizes = _spread(by_piece, np.diff(reach, prepend=0), coded.indices.to_numpy())
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()].tolist()
         for i, t in enumerate(texts):
             yield self._whole(t) if odd[i] else ids[cuts[i] : cuts[i + 1]]
-        for w in new:
-            if len(w) > CACHE_LENGTH:
-                del known[w]
 
 
 @lru_cache(1)
-def _coder(name: str) -> WordBPE:
+def _coder(name: str, plain: bool = False) -> WordBPE:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordBPE(name)
+    return WordBPE(name, plain)
 
 
 class Packer:
@@ -128,10 +116,10 @@ class Packer:
     so that a window is always filled. Deficits carry over to later windows.
     """
 
-    def __init__(self, shares: dict, window: int):
+    def __init__(self, shares: dict, window: int, deficit: dict | None = None):
         self.shares, self.window = shares, window
         self.queues: dict = {}
-        self.deficit: dict = {}
+        self.deficit: dict = dict(deficit or {})
         self.held = 0
 
     def add(self, source, item) -> None:
@@ -174,10 +162,17 @@ class Packer:
         return out
 
 
+    def rest(self) -> Iterator[tuple]:
+        """(source, item) of all that is queued."""
+        for s, q in self.queues.items():
+            for item in q:
+                yield s, item
+
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, plain: bool = False) -> DataFrame:
     """A row per document of (doc_id, text, source): doc_id, source, n and its ids, the end last.
 
     turn numbers each source's documents of a partition, from a place that differs by partition and source: turn modulo n
@@ -187,7 +182,7 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def encode(batches):
         from pyspark import TaskContext
 
-        coder, part, turns = _coder(tokenizer), TaskContext.get().partitionId(), {}
+        coder, part, turns = _coder(tokenizer, plain), TaskContext.get().partitionId(), {}
 
         def turn(source):
             turns[source] = turns[source] + 1 if source in turns else zlib.crc32(f"{part} {source}".encode("utf-8", "surrogatepass"))
@@ -198,7 +193,16 @@ def encoded(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             ids = [np.append(x, np.uint32(END)).astype(kind) for x in coder.ids(b["text"].tolist())]
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "source": b["source"].array, "turn": [turn(x) for x in b["source"]], "n": [len(x) for x in ids], "wide": kind is np.uint32, "ids": [x.tobytes() for x in ids]})
 
-    return docs.mapInPandas(encode, "doc_id long, source string, turn long, n long, wide boolean, ids binary")
+    return map_frames(docs, encode, "doc_id long, source string, turn long, n long, wide boolean, ids binary", CHUNK)
+
+
+def _laid(window: list, sequence: int) -> list[tuple]:
+    """Rows of a window's pieces."""
+    out, at = [], 0
+    for doc, start, n, crc, total, source in window:
+        out.append((doc, start, n, crc, total, sequence, at, source))
+        at += n
+    return out
 
 
 def targets(coded: DataFrame) -> DataFrame:
@@ -206,18 +210,18 @@ def targets(coded: DataFrame) -> DataFrame:
     return coded.groupBy("source").agg(F.sum("n").cast("double").alias("share"))
 
 
-def pack(docs: DataFrame, shares: dict | None = None, window: int = WINDOW, tokenizer: str = TOKENIZER, source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, shares: dict | None = None, window: int = WINDOW, tokenizer: str = TOKENIZER, source_col: str = "source", plain: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     shares: target proportions of sources by name; sources without one get none
     of the target but are packed all the same. Without shares, each source's
     share of all ids, however many sources there are. Documents are tokenized first and then dealt
     evenly over tasks of about TASK ids, so that each task has its part of every source whatever the
-    table's layout; a task carries deficits from window to window and holds at most HELD ids. The
-    last, shorter window of a task is not padded: its pieces go on, with those of other
-    tasks, to a second round in which whole pieces fill windows, most owed sources first;
-    the deficits of those tasks are summed there.
+    table's layout; a task carries deficits from window to window and holds at most HELD ids. What is left
+    at a task's end, less than a window, goes on with its deficits: those of TAILS tasks meet, deficits are
+    summed, and the same round-robin fills windows with them. Only the last window of such a group is not full.
 
+    plain: strings of special tokens are ordinary text; otherwise they are those tokens, as the library has it.
     A null text counts as empty; its piece is the end id alone. A null source is
     a source of its own. Repeated rows are packed as often as they occur. Other
     columns are ignored; a table without the source column has one source. An
@@ -227,77 +231,72 @@ def pack(docs: DataFrame, shares: dict | None = None, window: int = WINDOW, toke
         docs = docs.withColumn(source_col, F.lit("all"))
     src = F.coalesce(F.col(source_col).cast("string"), F.lit("\u0000null")).alias("source")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), src)
-    coded = cut(encoded(docs, tokenizer))
-    if shares is None:
-        whole = cut(targets(coded))
-        dealt, total = coded.join(whole, "source"), whole.agg(F.sum("share")).first()[0]
-    else:
-        given = docs.sparkSession.sparkContext.broadcast(shares)
-        dealt, total = coded.withColumn("share", F.lit(None).cast("double")), coded.agg(F.sum("n")).first()[0]
-    tasks = max(1, -(-int(total or 0) // TASK))
-    dealt = dealt.repartitionById(tasks, (F.col("turn") % tasks).cast("int"))
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        packer, done = Packer({} if shares is None else given.value, window), 0
-
-        def rows(windows):
-            nonlocal done
+    with scratch() as keep:
+        coded = cut(encoded(docs, tokenizer, plain))
+        if shares is None:
+            whole = cut(targets(coded))
+            dealt, total = coded.join(whole, "source"), whole.agg(F.sum("share")).first()[0]
+        else:
+            given = docs.sparkSession.sparkContext.broadcast(shares)
+            dealt, total = coded.withColumn("share", F.lit(None).cast("double")), coded.agg(F.sum("n")).first()[0]
+        tasks = max(1, -(-int(total or 0) // TASK))
+        names = [c.split()[0] for c in PIECE.split(", ")]
+        dealt = dealt.repartitionById(tasks, (F.col("turn") % tasks).cast("int"))
+
+        def run(batches):
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId()
+            packer, done = Packer({} if shares is None else given.value, window), 0
+
+            def frame(windows):
+                nonlocal done
+                out = []
+                for w in windows:
+                    out += _laid(w, (part << 32) + done)
+                    done += 1
+                return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"}).assign(part=None, share=None, deficit=None, ids=None)
+
+            for b in batches:
+                out = []
+                for doc, ids, wide, source, share in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["ids"], b["wide"], b["source"], b["share"]):
+                    ids = np.frombuffer(ids, np.uint32 if wide else np.uint16).astype(np.uint32)
+                    if shares is None:
+                        packer.shares[source] = share
+                    packer.add(source, (doc, 0, ids, len(ids), len(ids)))
+                    if packer.held > HELD:
+                        while packer.held > HELD // 2:
+                            out.append(packer.fill())
+                if out:
+                    yield frame(out)
             out = []
-            for w in windows:
-                at = 0
-                for doc, start, k, crc, total, source in w:
-                    out.append((doc, start, k, crc, total, (part << 32) + done, at, source))
-                    at += k
-                done += 1
-            return out
-
-        def frame(rows, tail, deficit=0.0):
-            pdf = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
-            return pdf.astype({"doc_id": "Int64"}).assign(tail=tail, part=part, deficit=deficit)
-
-        for b in batches:
-            out = []
-            for doc, ids, wide, source, share in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["ids"], b["wide"], b["source"], b["share"]):
-                ids = np.frombuffer(ids, np.uint32 if wide else np.uint16).astype(np.uint32)
-                if shares is None:
-                    packer.shares[source] = share
-                packer.add(source, (doc, 0, ids, len(ids), len(ids)))
-                if packer.held > HELD:
-                    while packer.held > HELD // 2:
-                        out += rows([packer.fill()])
+            while packer.held >= window:
+                out.append(packer.fill())
             if out:
-                yield frame(out, False)
-        out = []
-        while packer.held >= window:
-            out += rows([packer.fill()])
-        if out:
-            yield frame(out, False)
-        if packer.held:
-            yield frame(rest := rows([packer.fill()]), True).assign(deficit=[packer.deficit[r[7]] for r in rest])
-
-    laid = cut(dealt.mapInPandas(run, PIECE + ", tail boolean, part long, deficit double"))
-    names = [c.split()[0] for c in PIECE.split(", ")]
+                yield frame(out)
+            # The rest, in order, and the deficits of sources that have none.
+            rest = [(doc, start, n, 0, total, None, i, s, ids.tobytes()) for i, (s, (doc, start, ids, n, total)) in enumerate(packer.rest())]
+            rest += [(None, 0, 0, 0, 0, None, -1, s, None) for s, d in packer.deficit.items() if s not in packer.queues and abs(d) >= 1]
+            if packer.held:
+                pdf = pd.DataFrame(rest, columns=[*names, "ids"]).astype({"doc_id": "Int64", "sequence_id": "Int64"})
+                yield pdf.assign(part=part, share=pdf["source"].map(lambda s: packer.shares.get(s, 0.0)), deficit=pdf["source"].map(packer.deficit))
+
+        laid = keep(cut(map_frames(dealt, run, PIECE + ", part long, share double, deficit double, ids binary")))
 
     def join_tails(key, pdf):
-        """First fit of whole pieces, those of the most owed source first and then the longest; sequence ids follow the group's own."""
-        owed = pdf.drop_duplicates(["part", "source"]).groupby("source")["deficit"].sum()
-        pdf = pdf.assign(owed=pdf["source"].map(owed)).sort_values(["owed", "length", "doc_id", "start", "part", "offset"], ascending=[False, False, True, True, True, True])
-        room: list[int] = []
-        seq, at = [], []
-        for n in pdf["length"]:
-            k = next((i for i, r in enumerate(room) if r >= n), len(room))
-            if k == len(room):
-                room.append(window)
-            seq.append((1 << 62) + (int(key[0]) << 32) + k)
-            at.append(window - room[k])
-            room[k] -= n
-        return pdf.assign(sequence_id=seq, offset=at)[names]
-
-    tails = laid.where("tail").withColumn("g", F.expr(f"part div {TAILS}")).groupBy("g").applyInPandas(join_tails, PIECE)
-    return laid.where("not tail").select(*names).union(tails)
+        own = pdf.drop_duplicates(["part", "source"])
+        packer = Packer(dict(zip(own["source"], own["share"])) if shares is None else given.value, window, own.groupby("source")["deficit"].sum().to_dict())
+        pdf = pdf[pdf["length"] > 0].sort_values(["part", "offset"])
+        for doc, start, n, total, source, ids in zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["start"], pdf["length"], pdf["doc_tokens"], pdf["source"], pdf["ids"]):
+            packer.add(source, (doc, start, np.frombuffer(ids, np.uint32), n, total))
+        out, at = [], (1 << 62) + (int(key[0]) << 32)
+        while packer.held:
+            out += _laid(packer.fill(), at)
+            at += 1
+        return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+
+    tails = laid.where("part is not null").withColumn("g", F.expr(f"part div {TAILS}")).groupBy("g").applyInPandas(join_tails, PIECE)
+    return laid.where("part is null").select(*names).union(tails)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
