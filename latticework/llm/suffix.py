@@ -6,16 +6,19 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_filter, in_filter_slot, mix, table
+from .common import cut, fresh, id_filter, in_filter, map_frames, mix, scratch, table, with_column
 
 LENGTH, GRAM = 400, 32
 #: Bytes of contexts in an index; contexts of one anchor that one index takes; window starts of a step beyond that.
-INDEX, CROWD, STEP = 1 << 20, 192, 16
+INDEX, CROWD, STEP = 1 << 18, 192, 16
 #: Bytes of a text that anchors are sought in at once.
 CHUNK = 1 << 22
+#: Bytes of texts that copies are sought in before they leave a task.
+TEXTS = 1 << 22
 _ODD = 0x9E3779B97F4A7C15
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -164,6 +167,15 @@ class RunIndex:
         by = np.argsort(at)
         return at[by], shared[by]
 
+    def texts(self) -> list[bytes]:
+        """The texts, from the runs alone: equal letters stand in the same order before suffixes and at their start."""
+        before = np.repeat(self.letters, self.lengths)
+        after = np.argsort(before, kind="stable")  # from a suffix's place to that of the suffix one further
+        first, out, place = before[after], np.empty(self.n, np.int64), after[len(self.ends) - 1]
+        for i in range(self.n):
+            out[i], place = first[place], after[place]
+        return [(x[:-1] - len(self.ends)).astype(np.uint8).tobytes() for x in np.split(out, self.ends + 1)[:-1]]
+
     def statistics(self) -> np.ndarray:
         """For each position in text order, the longest string that starts there and somewhere else."""
         p = np.arange(self.n)
@@ -201,6 +213,11 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     are dealt with by counting window hashes over all tasks: first, for STEP windows at once, what all of them hold and what any
     of them holds; then window by window where that leaves it open. So no group is ever gathered, and no candidate is left out.
     """
+    with scratch() as keep:
+        return keep(cut(_spans(docs, length, gram)))
+
+
+def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def find(batches):
@@ -218,7 +235,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             yield pd.DataFrame([(*r, seen[r[0]]) for r in rows], columns=["text", "seed", "ctx", "first", "more", "weight"])
 
     cols = "text string, seed array<long>, ctx array<long>, first array<int>, more array<int>"
-    per_text = docs.mapInPandas(find, cols + ", weight long").groupBy("text").agg(*[F.first(c).alias(c) for c in ("seed", "ctx", "first", "more")], F.sum("weight").alias("weight"))
+    per_text = map_frames(docs, find, cols + ", weight long", TEXTS).groupBy("text").agg(*[F.first(c).alias(c) for c in ("seed", "ctx", "first", "more")], F.sum("weight").alias("weight"))
     found = cut(per_text)
     occ = found.select("text", "weight", F.explode(F.arrays_zip("seed", "ctx", "first", "more")).alias("x")).select("text", "weight", "x.*")
     weights = occ.groupBy("seed", "ctx").agg(F.sum("weight").alias("n"))
@@ -229,10 +246,10 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         .groupBy("seed", "ctx")
         .agg(F.sum("weight").alias("n"))
     )
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(several, "seed", 1 << 24)))
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(several, "seed"))
 
     def contexts(batches):
-        want, done = np.unpackbits(wanted.value).astype(bool), set()
+        done: set = set()
         for b in batches:
             out = []
             for t in b["text"]:
@@ -240,16 +257,16 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 if len(data) < length:
                     continue
                 seed, ctx, pos, first, last = anchors(data, length, gram)
-                for i in np.flatnonzero(want[in_filter_slot(seed, len(want))]).tolist():
+                for i in np.flatnonzero(in_filter(wanted.value, seed)).tolist():
                     k = (seed[i], ctx[i])
                     if k not in done:
                         done.add(k)
                         out.append((*k, int(pos[i] - first[i]), data[first[i] : last[i] + length]))
-            if len(done) > 1_000_000:
+            if len(done) > 200_000:
                 done.clear()
             yield pd.DataFrame(out, columns=["seed", "ctx", "pos", "bytes"])
 
-    texts = docs.mapInPandas(contexts, "seed long, ctx long, pos int, bytes binary").groupBy("seed", "ctx").agg(F.first("pos").alias("pos"), F.first("bytes").alias("bytes"))
+    texts = map_frames(docs, contexts, "seed long, ctx long, pos int, bytes binary", TEXTS).groupBy("seed", "ctx").agg(F.first("pos").alias("pos"), F.first("bytes").alias("bytes"))
     texts = cut(texts.join(several, "seed"))
     total = texts.where(f"distinct <= {CROWD}").agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(1, -(-total // INDEX))
@@ -281,7 +298,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             yield pdf
 
     crowd = texts.where(f"distinct > {CROWD}").repartition(F.xxhash64("seed", "ctx"))
-    stepped = cut(crowd.mapInPandas(steps, "seed long, ctx long, step int, core long, full long, lo int, hi int"))
+    stepped = cut(map_frames(crowd, steps, "seed long, ctx long, step int, core long, full long, lo int, hi int"))
     cores = cut(stepped.groupBy("seed", "step", "core").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     fulls = cut(stepped.where("full is not null").groupBy("seed", "step", "full").agg(F.count("*").alias("n")).where("n > 1"))
     open_ = stepped.join(cores, ["seed", "step", "core"]).join(fulls, ["seed", "step", "full"], "left")
@@ -300,7 +317,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             if out:
                 yield pd.concat(out)
 
-    single = cut(crowd.join(todo, ["seed", "ctx"]).mapInPandas(singly, "seed long, ctx long, far int, h long, at int"))
+    single = cut(map_frames(crowd.join(todo, ["seed", "ctx"]), singly, "seed long, ctx long, far int, h long, at int"))
     twice = cut(single.groupBy("seed", "far", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     by_count = (
         single.join(twice, ["seed", "far", "h"])
@@ -326,10 +343,12 @@ def cover(n: int, firsts, lasts, length: int = LENGTH) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _with_marks(docs: DataFrame, cols: list[str], length: int, gram: int) -> DataFrame:
-    marks = cut(spans(docs, length, gram))
-    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    return docs.select(*cols, key.alias("_text")).join(marks.select(F.col("text").alias("_text"), "firsts", "lasts"), "_text", "left").drop("_text")
+def _with_marks(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, str, str]:
+    """docs with the ranges of repeated windows of each text, and the names of the columns that hold them."""
+    key, firsts, lasts = (fresh(docs, f"repeat_{x}") for x in ("key", "firsts", "lasts"))
+    marks = spans(docs, length, gram).select(F.col("text").alias(key), F.col("firsts").alias(firsts), F.col("lasts").alias(lasts))
+    own = docs.withColumn(key, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    return own.join(marks, key, "left").drop(key), firsts, lasts
 
 
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -337,13 +356,14 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
     Removes each byte that a string of `length` bytes covers which starts elsewhere too, in this or any other
     document. All copies go, the first too. A null text is empty; texts shorter than a window lose nothing; repeated rows of that
-    length lose everything. An empty table gives an empty result.
+    length lose everything. Texts are read whole, CHUNK bytes at a time. An empty table gives an empty result; other columns are ignored.
     """
+    marked, firsts, lasts = _with_marks(docs.select("doc_id", F.col("text").cast("string").alias("text")), length, gram)
 
     def run(batches):
         for b in batches:
             out = []
-            for t, a, z in zip(b["text"], b["firsts"], b["lasts"]):
+            for t, a, z in zip(b["text"], b[firsts], b[lasts]):
                 raw = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)
                 gone = cover(len(raw), a, z, length)
                 out.append((len(raw), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
@@ -351,28 +371,31 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             pdf.insert(0, "doc_id", b["doc_id"].array)
             yield pdf
 
-    return _with_marks(docs, ["doc_id", "text"], length, gram).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_frames(marked, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with repeated strings cut out of text: of a character that is only partly repeated nothing is cut. A null text stays null."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for t, a, z in zip(b["text"], b["firsts"], b["lasts"]):
-                if t is None or a is None or not len(a):
-                    out.append(t)
-                    continue
-                raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-                gone = cover(len(raw), a, z, length)
-                start = np.flatnonzero((raw & 0xC0) != 0x80)
-                whole = np.minimum.reduceat(gone.astype(np.uint8), start).astype(bool)
-                out.append(raw[~np.repeat(whole, np.diff(np.append(start, len(raw))))].tobytes().decode("utf-8", "surrogatepass"))
-            yield b.drop(columns=["firsts", "lasts"]).assign(text=out)
+    """docs with repeated strings cut out of text: of a character that is only partly repeated nothing is cut.
 
-    schema = docs.schema
-    return _with_marks(docs, docs.columns, length, gram).mapInPandas(run, schema).select(*docs.columns)
+    A null text stays null, every other column as it is, whatever its name or type. Repeated rows stay, without what they repeat; an empty table gives an empty result.
+    """
+    marked, firsts, lasts = _with_marks(docs, length, gram)
+
+    def run(b):
+        text, a, z = (b.column(b.schema.get_field_index(c)) for c in ("text", firsts, lasts))
+        out = []
+        for t, a, z in zip(text.to_pylist(), a.to_pylist(), z.to_pylist()):
+            if t is None or not a:
+                out.append(t)
+                continue
+            raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
+            gone = cover(len(raw), a, z, length)
+            start = np.flatnonzero((raw & 0xC0) != 0x80)
+            whole = np.minimum.reduceat(gone.astype(np.uint8), start).astype(bool)
+            out.append(raw[~np.repeat(whole, np.diff(np.append(start, len(raw))))].tobytes().decode("utf-8", "surrogatepass"))
+        return {"text": pa.array(out, text.type)}
+
+    return with_column(marked, run, docs.schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
