@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, map_frames, scratch, table
 
 COSINE = 0.9
-#: Vectors a cell on average, cells at most, vectors the centroids are fitted on at most, rows of a block.
-CELL, CELLS, SAMPLE, BLOCK = 512, 4_096, 32_768, 1_024
-#: How far a class visits, in deviations of the shift that a vector at the angle has along a random direction; None: as far as any can be, so that no pair is missed.
-DEVIATIONS = None
+#: Cells are CELLS times the root of the number of vectors; bytes of vectors that centroids are fitted on at most; rows of a band of cells and of a block; rows that are multiplied at once.
+CELLS, SAMPLE_BYTES, BLOCK, ROWS = 2.0, 1 << 24, 4_096, 512
+#: Lengths of vectors that have cells; rarer lengths are one cell each.
+LENGTHS = 1_000
+#: Products in single precision are off by less for unit vectors; so near the threshold they are taken again in double precision.
+SLACK = 1e-4
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -23,42 +25,103 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) ->
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        own = (x @ c.T).argmax(1)
-        total = np.zeros_like(c)
-        np.add.at(total, own, x)
+        own = np.concatenate([(x[i : i + 4_096] @ c.T).argmax(1) for i in range(0, len(x), 4_096)])
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.diff(own[order], prepend=-1))
+        total = np.add.reduceat(x[order], first)
         norm = np.linalg.norm(total, axis=1)
         full = norm > 1e-9
-        c[full] = total[full] / norm[full, None]
+        c[own[order][first][full]] = total[full] / norm[full, None]
     return c
 
 
+class Cells:
+    """Centroids in an order that keeps near ones together, cut into bands."""
+
+    def __init__(self, x: np.ndarray, n: int, block: int = BLOCK):
+        c = spherical_kmeans(x, max(1, min(len(x), round(CELLS * n**0.5))))
+        bands = max(1, -(-n // block))
+        top = spherical_kmeans(c, min(bands, len(c)))
+        c = c[np.argsort((c @ top.T).argmax(1), kind="stable")]
+        own = np.bincount(np.concatenate([(x[i : i + 4_096] @ c.T).argmax(1) for i in range(0, len(x), 4_096)]), minlength=len(c))
+        # Consecutive cells of about a block's rows, by the sample.
+        self.band = np.minimum((np.cumsum(own) - own) * bands // max(1, own.sum()), bands - 1)
+        self.band = np.unique(self.band, return_inverse=True)[1]
+        self.starts = np.flatnonzero(np.diff(self.band, prepend=-1))
+        self.c = c
+
+    def places(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, band, whether it is at home there): each vector's own band, and the lower ones with a cell whose dividing plane is within reach."""
+        s = x @ self.c.T
+        home = s.argmax(1)
+        gap = np.sqrt(np.maximum(2 - 2 * (self.c[home] @ self.c.T), 1e-18))
+        far = np.minimum.reduceat((s[np.arange(len(s)), home][:, None] - s) / gap, self.starts, axis=1)
+        own = self.band[home]
+        r, b = np.nonzero((far <= reach) & (np.arange(len(self.starts))[None, :] < own[:, None]))
+        return np.concatenate([np.arange(len(x)), r]), np.concatenate([own, b]), np.arange(len(x) + len(r)) < len(x)
+
+
+def linked(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of unit vectors have that cosine or more, in double precision."""
+    out = np.zeros((len(x), len(y)), bool)
+    xs, ys = x.astype(np.float32), y.astype(np.float32).T
+    for i in range(0, len(x), ROWS):
+        s = xs[i : i + ROWS] @ ys
+        r, c = np.nonzero(s >= cosine - SLACK)
+        if len(r) > len(y):
+            out[i : i + ROWS] = x[i : i + ROWS] @ y.T >= cosine
+        elif len(r):
+            ok = np.einsum("ij,ij->i", x[i + r], y[c]) >= cosine
+            out[i + r[ok], c[ok]] = True
+    return out
+
+
 def _labels(link: np.ndarray) -> np.ndarray:
     """The lowest row that each row of a symmetric link matrix reaches."""
-    lab = np.arange(len(link))
-    while True:
-        low = np.where(link, lab, len(link)).min(1)
-        new = np.minimum(lab, low)
-        new = new[new]
-        if (new == lab).all():
-            return lab
-        lab = new
+    a, b = _reached(link, np.arange(len(link)), np.arange(len(link)))
+    return np.minimum(a, b)
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, cells: int = CELLS, sample: int = SAMPLE, block: int = BLOCK, deviations: float | None = DEVIATIONS) -> DataFrame:
+def _reached(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least of the numbers of rows and columns that each row and each column reaches by links."""
+    r, c = np.nonzero(link) if np.count_nonzero(link) <= 1 << 18 else (None, None)
+    left, right = left.copy(), right.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        before = left.sum(dtype=np.float64) + right.sum(dtype=np.float64), left.copy(), right.copy()
+        if r is not None:
+            np.minimum.at(left, r, right[c])
+            np.minimum.at(right, c, left[r])
+        else:
+            for i in range(0, len(left), ROWS):
+                left[i : i + ROWS] = np.minimum(left[i : i + ROWS], np.where(link[i : i + ROWS], right, top).min(1))
+                right = np.minimum(right, np.where(link[i : i + ROWS], left[i : i + ROWS, None], top).min(0))
+        if (left == before[1]).all() and (right == before[2]).all():
+            return left, right
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, reach: float = 1.0, block: int = BLOCK) -> DataFrame:
     """A row per vector: vec_id, n_links, component_id, kept.
 
     Equal vectors meet in one class first, which then counts as often as it has members.
-    Centroids are fitted on at most `sample` classes (by the hash of the vector), all classes are
-    assigned. A class is at home in its nearest cell and visits each lower-numbered
-    cell whose dividing plane is near. With deviations=None that is as far as the angle, and no pair can be missed;
-    otherwise as far as so many deviations of a shift at the angle in a random direction, sine / sqrt(length) each: all pairs
-    found are exact, but pairs are missed, many of them where vectors fill few of their dimensions. No pair is compared twice. Cells are
-    compared block by block; only counts and a spanning forest of each block's links leave it.
+    Spherical k-means centroids are fitted on a sample of classes by the hash of the vector, SAMPLE_BYTES at most; all classes are
+    assigned. There are CELLS times the root of n cells at every n, in an order that keeps near cells together, cut into bands of about a block of vectors. A class is at home
+    in the band of its nearest cell and visits each lower band with a cell whose dividing plane is within `reach` times the sine
+    of the angle; with 1.0 that is as far as the angle, and no pair is missed, whatever the rank of the vectors. Less visits less and misses pairs. No pair is compared twice. Bands are
+    compared block by block, in single precision first, near the threshold again in double; only counts and a spanning forest of each block's links leave it.
 
     Null and zero vectors, and those with null or non-finite components, link with nothing, as do those of
     different length with each other. A null vec_id is compared but names no
-    component. Repeated rows are linked to each other.
+    component. Repeated rows are linked to each other; of equal cosines none is left out. An empty table gives an empty result; other columns are ignored.
     """
+    with scratch() as keep:
+        all_rows, per_class = _linked_classes(vectors, cosine, reach, block)
+        keep(all_rows), keep(per_class)
+    return all_rows.join(per_class, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _linked_classes(vectors: DataFrame, cosine: float, reach: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(vec_id and key of each vector, links and component of each class)."""
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
 
@@ -66,67 +129,54 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
         for b in batches:
             keys, units, dims = [], [], []
             for e in b["e"]:
-                v = None if e is None else np.array([np.nan if y is None else y for y in e], np.float64)
-                norm = 0.0
+                v, norm = (None, 0.0) if e is None else (np.asarray(e, np.float64), 0.0)
                 if v is not None and len(v) and np.isfinite(v).all():
                     top = np.abs(v).max()
-                    if top > 0:
-                        v = v / top
-                        norm = np.linalg.norm(v)
+                    norm = np.linalg.norm(v / top) if top > 0 else 0.0
                 if norm > 0:
-                    u = v / norm
-                    keys.append(hashlib.md5(np.asarray(e, np.float64).tobytes()).hexdigest())
-                    units.append(u.tobytes())
-                    dims.append(len(u))
+                    keys.append(hashlib.md5((v + 0.0).tobytes()).hexdigest())
+                    units.append((v / top / norm).tobytes())
+                    dims.append(len(v))
                 else:
                     keys.append(None)
                     units.append(None)
                     dims.append(0)
             yield pd.DataFrame({"vec_id": b["vec_id"].array, "key": keys, "u": units, "dim": dims})
 
-    all_rows = cut(rows.mapInPandas(unit, "vec_id long, key string, u binary, dim int"))
+    read = cut(map_frames(rows, unit, "vec_id long, key string, u binary, dim int"))
+    all_rows = cut(read.select("vec_id", "key"))
     classes = cut(
-        all_rows.where("key is not null")
+        read.where("key is not null")
         .groupBy("key")
         .agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("u").alias("u"), F.first("dim").alias("dim"))
         .withColumn("id", F.coalesce("id", -F.abs(F.xxhash64("key")) - 1))
     )
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1_000).collect()}
-    centroids = {}
-    for dim, n in sizes.items():
-        if n > 2 * cell:
-            own = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("key")).limit(sample).select("u").toPandas()
-            centroids[dim] = spherical_kmeans(np.stack([np.frombuffer(u) for u in own["u"]]), min(cells, -(-n // cell)))
-    shared = spark.sparkContext.broadcast(centroids)
-    sine = np.sqrt(max(0.0, 1 - cosine * cosine)) + 1e-6
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()}
+    size = sum(8 * d * n for d, n in sizes.items())
+    share = min(1.0, SAMPLE_BYTES / max(size, 1))
+    some = classes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else classes
+    cells = {}
+    for dim, own in some.where(F.col("dim").isin(list(sizes))).select("dim", "u").toPandas().groupby("dim"):
+        cells[dim] = Cells(np.stack([np.frombuffer(u) for u in own["u"]]), sizes[dim], block)
+    shared = spark.sparkContext.broadcast(cells)
+    sine = (np.sqrt(max(0.0, 1 - cosine * cosine)) + 1e-6) * reach
 
     def assign(batches):
-        gaps: dict = {}
         for b in batches:
             for dim, own in b.groupby("dim"):
-                c = shared.value.get(dim)
-                if c is None:
-                    yield pd.DataFrame({"dim": dim, "cell": 0, "home": True, "id": own["id"], "n": own["n"], "u": own["u"]})
-                    continue
-                if dim not in gaps:
-                    gaps[dim] = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-18))
-                for at in range(0, len(own), 2_048):
-                    part = own.iloc[at : at + 2_048]
-                    s = np.stack([np.frombuffer(u) for u in part["u"]]) @ c.T
-                    home = s.argmax(1)
-                    far = (s[np.arange(len(s)), home][:, None] - s) / gaps[dim][home]
-                    reach = sine if deviations is None else min(sine, deviations * sine / np.sqrt(c.shape[1]))
-                    visit = (far <= reach) & (np.arange(len(c))[None, :] < home[:, None])
-                    r, k = np.nonzero(visit)
-                    r, k = np.concatenate([np.arange(len(s)), r]), np.concatenate([home, k])
+                for at in range(0, len(own), 1_024):
+                    part = own.iloc[at : at + 1_024]
+                    if dim in shared.value:
+                        r, band, home = shared.value[dim].places(np.stack([np.frombuffer(u) for u in part["u"]]), sine)
+                    else:
+                        r, band, home = np.arange(len(part)), np.zeros(len(part), int), np.ones(len(part), bool)
                     x = part.iloc[r]
-                    yield pd.DataFrame({"dim": dim, "cell": k, "home": np.arange(len(r)) < len(s), "id": x["id"].array, "n": x["n"].array, "u": x["u"].array})
+                    yield pd.DataFrame({"dim": dim, "band": band, "home": home, "id": x["id"].array})
 
-    placed = cut(classes.select("id", "n", "u", "dim").mapInPandas(assign, "dim int, cell int, home boolean, id long, n long, u binary"))
-    full = placed.where("home").groupBy("dim", "cell").agg(F.count("*").alias("inside"))
-    came = placed.where("not home").groupBy("dim", "cell").agg(F.count("*").alias("visitors"))
-    plan = cut(full.join(came, ["dim", "cell"], "left").select("dim", "cell", F.expr(f"int(ceil(inside / {block}))").alias("hb"), F.expr(f"int(ceil(coalesce(visitors, 0) / {block}))").alias("vb")))
-    placed = placed.join(F.broadcast(plan), ["dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("hb")).otherwise(F.greatest("vb", F.lit(1)))).cast("int"))
+    placed = cut(map_frames(classes.select("id", "u", "dim"), assign, "dim int, band int, home boolean, id long"))
+    plan = placed.groupBy("dim", "band").agg(F.count(F.when(F.col("home"), 1)).alias("inside"), F.count(F.when(~F.col("home"), 1)).alias("visitors"))
+    plan = cut(plan.where("inside > 0").select("dim", "band", F.expr(f"int(ceil(inside / {block}))").alias("hb"), F.expr(f"int(ceil(visitors / {block}))").alias("vb")))
+    dealt = placed.join(plan, ["dim", "band"]).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("hb")).otherwise(F.col("vb"))).cast("int"))
     # Home block i meets home blocks j >= i and every block of visitors; a task is a pair of blocks.
     pairs = F.when(
         F.col("home"),
@@ -135,35 +185,34 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
             F.when(F.col("vb") > 0, F.transform(F.sequence(F.lit(0), F.col("vb") - 1), lambda j: F.struct(F.col("own").alias("a"), j.cast("int").alias("b"), F.lit(1).alias("v")))).otherwise(F.array().cast("array<struct<a:int,b:int,v:int>>")),
         ),
     ).otherwise(F.transform(F.sequence(F.lit(0), F.col("hb") - 1), lambda i: F.struct(i.cast("int").alias("a"), F.col("own").alias("b"), F.lit(1).alias("v"))))
-    tasks = placed.withColumn("p", F.explode(pairs)).select("dim", "cell", "home", "own", "id", "n", "u", "p.a", "p.b", "p.v")
+    tasks = dealt.withColumn("p", F.explode(pairs)).select("dim", "band", "home", "own", "id", "p.a", "p.b", "p.v").join(classes.select("id", "n", "u"), "id")
 
     def compare(key, pdf):
         _, _, a, b, v = key
         left = pdf[pdf["home"] & (pdf["own"] == a)]
         same = not v and a == b
         right = left if same else pdf[~pdf["home"]] if v else pdf[pdf["own"] == b]
+        none = pd.DataFrame({"id": [], "links": [], "root": []})
         if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "links": [], "root": []})
+            return none
         x = np.stack([np.frombuffer(u) for u in left["u"]])
         y = x if same else np.stack([np.frombuffer(u) for u in right["u"]])
-        link = x @ y.T >= cosine
+        link = linked(x, y, cosine)
         if same:
             np.fill_diagonal(link, False)
-        ids = left["id"].to_numpy() if same else np.concatenate([left["id"], right["id"]])
-        links = link @ right["n"].to_numpy()
-        if not same:
-            links = np.concatenate([links, link.T @ left["n"].to_numpy()])
-            whole = np.zeros((len(ids), len(ids)), bool)
-            whole[: len(x), len(x) :] = link
-            whole[len(x) :, : len(x)] = link.T
-            link = whole
-        order = np.argsort(ids, kind="stable")
-        root = np.empty(len(ids), np.int64)
-        root[order] = ids[order][_labels(link[np.ix_(order, order)])]
+        if not link.any():
+            return none
+        count = lambda m, n: np.concatenate([m[i : i + ROWS].astype(np.float64) @ n.to_numpy(np.float64) for i in range(0, len(m), ROWS)]).astype(np.int64)
+        roots = _reached(link, left["id"].to_numpy(), right["id"].to_numpy())
+        ids, links, root = left["id"].to_numpy(), count(link, right["n"]), roots[0]
+        if same:
+            root = np.minimum(*roots)
+        else:
+            ids, links, root = np.concatenate([ids, right["id"]]), np.concatenate([links, count(link.T, left["n"])]), np.concatenate([root, roots[1]])
         keep = links > 0
         return pd.DataFrame({"id": ids[keep], "links": links[keep], "root": root[keep]})
 
-    found = cut(tasks.groupBy("dim", "cell", "a", "b", "v").applyInPandas(compare, "id long, links long, root long"))
+    found = cut(tasks.groupBy("dim", "band", "a", "b", "v").applyInPandas(compare, "id long, links long, root long"))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     per_class = cut(
@@ -172,7 +221,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
         .join(groups, "id", "left")
         .select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
-    return all_rows.select("vec_id", "key").join(per_class, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return all_rows, per_class
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
