@@ -9,14 +9,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_size, crc_mod, cut, mix, table, tree_merge
+from .common import by_size, crc_mod, cut, map_frames, mix, scratch, table, tree_merge
 
 #: The end of a text as a token; no word is like it, as words hold no space.
 END = " "
 #: Words whose counts all tasks have; the rest are joined. Classes that the neural model tells apart at least, unless there are fewer words.
 HEAD, CLASSES = 65_536, 1_023
 #: Characters that are taken in one go.
-CHUNK = 1 << 23
+CHUNK = 1 << 22
 #: Passes over all pair counts, pairs of a step, noise words that a step's pairs share, count that one visit of a pair stands for (more where a pair would have over VISITS).
 DIMENSIONS, PASSES, BATCH, NOISE, WEIGHT, VISITS = 32, 2, 4_096, 128, 16, 1_024
 #: Groups of pairs at least, training tokens and pairs of a group's blocks.
@@ -135,7 +135,19 @@ def pair_counts(training: DataFrame, pair_up, groups: int) -> DataFrame:
         cuts = range(0, len(p), BLOCK)
         return pd.DataFrame({"p": [p[i : i + BLOCK].tobytes() for i in cuts], "c": [c[i : i + BLOCK].tobytes() for i in cuts]})
 
-    return training.mapInPandas(split, "g long, p binary, c binary").groupBy("g").applyInPandas(merge, "p binary, c binary")
+    return map_frames(training, split, "g long, p binary, c binary", CHUNK).groupBy("g").applyInPandas(merge, "p binary, c binary")
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows (word, c) of the commonest words, `most` at most: all that have the count from which on there are no more, to a 32nd of its logarithm."""
+    step = F.floor(F.log("c") * 32).cast("int")
+    over, least = 0, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        over += r["n"]
+        if over > most:
+            break
+        least = r["step"]
+    return counts.where(step >= least) if least is not None else counts.where("false")
 
 
 def train(pairs: DataFrame, unigram: np.ndarray, passes: int = PASSES) -> list[np.ndarray]:
@@ -178,8 +190,25 @@ def score_documents(docs: DataFrame, held: int = 0, folds: int = 10, head: int =
     is given, and one class for all others; it is trained on all pair counts. Within that class a word
     has its smoothed share of the counts; so the probabilities of all words and one unseen
     word sum to 1. A null text is empty: it has its end alone. Without training documents each
-    token has the probability of an unseen one. Repeated rows are scored as often; an empty table gives an empty result.
+    token has the probability of an unseen one. Words that are as common go by their order as text. Texts are read whole, some at a time. Repeated rows are scored as often; an empty table gives an empty result; other columns are ignored.
     """
+    with scratch() as keep:
+        scored, tail, n, whole, rest = _scored(docs, held, folds, head, classes)
+        keep(scored), keep(tail)
+    found, logs = F.coalesce("found", F.lit(0)), F.coalesce("logs", F.lit(0.0))
+    return scored.join(tail, "row", "left").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("known") + found).alias("n_known"),
+        F.lit(int(n)).cast("long").alias("train_tokens"),
+        (F.col("base") + logs - F.col("n_tokens") * F.lit(float(whole))).alias("base_score"),
+        (F.col("neural") + F.col("within") + logs - F.col("rare") * F.lit(float(rest))).alias("score"),
+    )
+
+
+def _scored(docs: DataFrame, held: int, folds: int, head: int, classes: int | None):
+    """(sums of each row over the words that tasks know, sums over its other words, training tokens, logarithms of what counts are divided by)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), (crc_mod("doc_id", folds) == held).alias("held_out"))
     training = docs.where("not held_out").select("text")
 
@@ -190,10 +219,10 @@ def score_documents(docs: DataFrame, held: int = 0, folds: int = 10, head: int =
                 c = np.bincount(at, minlength=len(own))
                 yield pd.DataFrame({"word": own, "c": c})[c > 0]
 
-    counts = cut(training.mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    counts = cut(map_frames(training, count, "word string, c long", CHUNK).groupBy("word").agg(F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     classes = own_classes(n) if classes is None else classes
-    top = counts.orderBy(F.desc("c"), "word").limit(max(head, classes + 1)).collect()
+    top = sorted(frequent(counts, max(head, classes + 1)).collect(), key=lambda r: (-r["c"], r["word"]))
     known = {r["word"]: int(r["c"]) for r in top}
     ids = {w: i + 1 for i, w in enumerate(w for w in [r["word"] for r in top[: classes + 1]] if w != END) if i < classes - 1}
     ids[END] = 0
@@ -227,7 +256,7 @@ def score_documents(docs: DataFrame, held: int = 0, folds: int = 10, head: int =
             for i in batch["id"]:
                 yield pd.DataFrame({"i": [i], "z": [log_norms(h[i * 128 : (i + 1) * 128], q, b).tolist()]})
 
-    norms = docs.sparkSession.range(-(-k // 128)).mapInPandas(normalise, "i long, z array<double>").orderBy("i").collect()
+    norms = sorted(map_frames(docs.sparkSession.range(-(-k // 128)), normalise, "i long, z array<double>").collect(), key=lambda r: r["i"])
     table_ = docs.sparkSession.sparkContext.broadcast((h, q, b, np.concatenate([x["z"] for x in norms])))
     whole, rest = np.log10(n + 0.1 * (v + 1)), np.log10(rare_n + 0.1 * (rare_v + 1))
 
@@ -258,13 +287,12 @@ def score_documents(docs: DataFrame, held: int = 0, folds: int = 10, head: int =
                 tail, times = [own[i] for i in (left % len(own)).tolist()], times.tolist()
                 lists = [[v[i:j] for i, j in zip(cuts, cuts[1:])] for v in (tail, times)]
                 done.append(pd.DataFrame(dict(zip(["n_tokens", "known", "rare", "base", "within", "neural", "tail", "times"], [n, *sums, *lists]))))
-            if done:
-                yield pd.concat([b[["doc_id", "held_out", "row"]].reset_index(drop=True), pd.concat(done, ignore_index=True)], axis=1)
+            yield pd.concat([b[["doc_id", "held_out", "row"]].reset_index(drop=True), pd.concat(done, ignore_index=True)], axis=1)
 
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    scored = cut(rows.mapInPandas(score, "doc_id long, held_out boolean, row long, n_tokens long, known long, rare long, base double, within double, neural double, tail array<string>, times array<long>"))
+    scored = cut(map_frames(rows, score, "doc_id long, held_out boolean, row long, n_tokens long, known long, rare long, base double, within double, neural double, tail array<string>, times array<long>", CHUNK))
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.times").alias("times"))
-    tail = (
+    tail = cut(
         tail.join(counts, "word", "left")
         .groupBy("row")
         .agg(
@@ -272,16 +300,7 @@ def score_documents(docs: DataFrame, held: int = 0, folds: int = 10, head: int =
             F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) * F.col("times")).alias("logs"),
         )
     )
-    found, logs = F.coalesce("found", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    return scored.drop("tail", "times").join(tail, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + found).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * F.lit(float(whole))).alias("base_score"),
-        (F.col("neural") + F.col("within") + logs - F.col("rare") * F.lit(float(rest))).alias("score"),
-    )
+    return cut(scored.drop("tail", "times")), tail, n, whole, rest
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
