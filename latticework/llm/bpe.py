@@ -11,7 +11,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import numbered, table
+from .common import map_frames, numbered, table
 
 #: Words and ids kept by a Python worker, and the longest word that is kept.
 CACHE_WORDS, CACHE_LENGTH = 400_000, 64
@@ -136,7 +136,7 @@ def encode_documents(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", patte
                 out["ids"] = [coder.encode(t) for t in b["text"]]
             yield out
 
-    return numbered(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return map_frames(numbered(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

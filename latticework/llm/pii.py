@@ -11,7 +11,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import numbered, table
+from .common import clear_of, map_frames, numbered, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of an entity at most: an address has 254 characters. Of the others, ip_six is the longest, with 50.
@@ -44,7 +44,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             done = m.end()
         at = text.find("@", max(at + 1, done))
     if re.search("[0-9]", text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x) < 4 and int(x or 0) < 256 for x in (y.lstrip("0") for y in m[0].split(".")))]
         for m in _CARD.finditer(text):
             d = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(d) <= 19 and luhn(d):
@@ -276,8 +276,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], field: SemiMarkov)
             part = tokens[max(0, i - 2 * LONGEST) : i + 400]
             out += field.decode(text, part)
     kept, last = [], -1
-    for s in sorted(set(out)):
-        if s[0] >= last and not any(s[0] < e and b < s[2] for b, _, e in base):
+    for s in clear_of(sorted(set(out)), base):
+        if s[0] >= last:
             kept.append(s)
             last = s[2]
     return kept
@@ -291,8 +291,8 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for every row.
 
     The counts and the hash are of the fixed patterns; spans also holds what the
-    field adds. Offsets are code points. A null or empty text has no spans.
-    Repeated rows give repeated rows, an empty table an empty one.
+    field adds. Offsets are code points. A null or empty text has no spans. Texts are read whole, however long; numbers of any length are no address.
+    Repeated rows give repeated rows, an empty table an empty one; of spans that overlap, the first stays; other columns are ignored.
     """
     field = docs.sparkSession.sparkContext.broadcast(model())
 
@@ -308,7 +308,7 @@ def find(docs: DataFrame) -> DataFrame:
             pdf.insert(0, "doc_id", b["doc_id"].array)
             yield pdf
 
-    return numbered(docs).mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return map_frames(numbered(docs), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

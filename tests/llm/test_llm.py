@@ -136,8 +136,10 @@ def test_jaccard_against_all_pairs(table, size, percent):
 def test_list_search_finds_all_pairs_of_first_shared_tokens():
     n = 300
     ids, sizes, pos, label = np.arange(n), np.full(n, 50), np.zeros(n, np.int64), np.arange(n) % 3
-    a, b = jaccard.list_pairs(ids, sizes, pos, label, np.zeros((n, 8), np.uint64), 90)
-    assert len(a) == n * n // 3 and (label[a] != label[b]).all()
+    a, b, whole = jaccard.list_pairs(ids, sizes, pos, label, np.zeros((n, 8), np.uint64), 90)
+    assert whole and len(a) == n * n // 3 and (label[a] != label[b]).all()
+    a, b, whole = jaccard.list_pairs(ids, sizes, pos, label, np.zeros((n, 8), np.uint64), 90, None, 4 * n)
+    assert not whole and sorted(a) == list(range(n)) and (label[a] != label[b]).all()
 
 
 def brute_repeats(rows, length):
@@ -164,6 +166,7 @@ def test_suffix_against_brute_force(spark, table, monkeypatch, crowd):
 def test_run_index_statistics():
     texts = [b"banana" * 20, b"bandana" * 10, b"nab"]
     index = suffix.RunIndex(texts)
+    assert index.texts() == texts and len(index.lengths) < sum(map(len, texts)) / 2
     for t, e in zip(texts, index.ends):
         for i in range(len(t)):
             best = max(k for k in range(len(t) - i + 1) if k == 0 or sum(x[j : j + k] == t[i : i + k] for x in texts for j in range(len(x) - k + 1)) > 1)
@@ -268,7 +271,7 @@ def test_embeddings_against_brute_force(spark):
     e /= np.linalg.norm(e, axis=1)[:, None]
     link = e @ e.T >= 0.9
     np.fill_diagonal(link, False)
-    for options in ({}, {"cell": 8, "block": 4, "deviations": None}):
+    for options in ({}, {"block": 4}):
         got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, **options).collect()}
         assert [got[i]["n_links"] for i in range(len(x))] == link.sum(1).tolist()
         assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(900, 905))
@@ -281,7 +284,7 @@ def test_embedding_recall(spark):
     e = np.stack(df.orderBy("vec_id").toPandas()["embedding"].map(np.float64))
     e /= np.linalg.norm(e, axis=1)[:, None]
     total = int((e @ e.T >= 0.9).sum()) - len(e)
-    found = embeddings.near_duplicates(df, cell=32).agg(F.sum("n_links")).first()[0]
+    found = embeddings.near_duplicates(df, block=32).agg(F.sum("n_links")).first()[0]
     assert found >= 0.9 * total and found <= total
 
 
