@@ -3,38 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from latticework.llm import jaccard, langid, packing, secrets, suffix
 from latticework.llm.common import crc_mod, cut
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: those that are null or have no letter go."""
+    """Documents whose text is likelier in a learned language than under a model that knows none; the others go, and so do texts that are null or have no letter.
+
+    Where no row has a lang, all texts with a letter stay. Repeated rows stay repeated; an empty table stays empty.
+    """
     langs, p = langid.train(docs.where(crc_mod("doc_id", 4) != 2))
-    told = langid.predict(docs, langs, p, *docs.columns, pred_col="_pred", score_col="_score")
-    return told.where(F.col("_pred") != langid.UNDETERMINED).select(*docs.columns)
+    return langid.accepted(docs, langs, p)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 80 % of their five-word shingles, the one of least doc_id; one row where rows repeat."""
-    kept = cut(jaccard.groups(docs, 5, 80).where("n_shingles = 0 or doc_id is null or doc_id = component_id").select("doc_id").distinct())
-    own = docs.where("doc_id is not null").join(kept, "doc_id").dropDuplicates(["doc_id"])
-    return own.select(*docs.columns).union(docs.where("doc_id is null").select(*docs.columns))
+    """Of each group of documents that share 80 % of their five-word shingles, the one of least doc_id.
+
+    Rows with the same doc_id and text are one document; different texts with one doc_id are two. Null doc_ids come last in their group;
+    texts without a word are in none and stay. An empty table stays empty.
+    """
+    return jaccard.representatives(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that start elsewhere too."""
+    """Texts without the strings of 400 bytes that start elsewhere too. All rows stay, some with an empty text; a null text stays null."""
     return suffix.deduplicated(docs)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with each secret's span replaced."""
+    """Texts with each secret's span replaced. All rows stay; a null text stays null."""
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows of 2,048 tokens."""
+    """Pieces of windows of 2,048 tokens, of all rows; a null or empty text is a piece of its end alone."""
     return packing.pack(docs)
 
 
