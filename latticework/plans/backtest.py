@@ -163,6 +163,8 @@ def metrics(df: DataFrame, d: DataFrame, factor: str = "factor", config: Backtes
 
 
 def backtest(df: DataFrame, factor: str = "factor", config: Backtest = Backtest(), target: str = "target") -> tuple[DataFrame, DataFrame]:
-    """(curve, figures) of a long-short backtest."""
+    """(curve, figures) of a long-short backtest. Fewer symbols than quantiles are an error."""
+    if df.select("symbol").distinct().limit(config.n_quantiles).count() < config.n_quantiles:
+        raise ValueError(f"{config.n_quantiles} quantiles need as many symbols")
     d = daily(df, factor, config, target)
     return curve(d, config.n_quantiles), metrics(df, d, factor, config, target)

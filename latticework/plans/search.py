@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import json
+import math
+import os
 import random
 from dataclasses import dataclass, field
 
@@ -205,6 +209,8 @@ class Search:
     pnl_every: int = 1
     validate_every: int = 5
     cv_penalty: float = 0.5
+    second_q: int | None = None
+    folder: str | None = None
     exclude: tuple[str, ...] = ()
     cache: dict = field(default_factory=dict)
     pnl: dict = field(default_factory=dict)
@@ -249,10 +255,16 @@ class Search:
         return factor_pnl(stacked, ["factor"], self.q, self.cost)
 
     def validate(self, texts: list[str], n_time: int = 4, n_universe: int = 3) -> dict[str, dict]:
-        """Robustness of formulas on validation dates."""
+        """Robustness of formulas on validation dates; with second_q also with that number of quantiles, as nq_ figures, and pass asks for both."""
         df, errors = evaluate_batch(self.panel, {t: t for t in texts})
         stacked = segments(stack(df, [t for t in texts if t not in errors], "target")).where("segment = 'valid'").drop("segment")
-        return {r["factor"]: r.asDict() for r in robustness(fold_scores(stacked, self.q, self.cost, self.annualization, n_time=n_time, n_universe=n_universe, n_walk=4)).collect()}
+        told = lambda q: {r["factor"]: r.asDict() for r in robustness(fold_scores(stacked, q, self.cost, self.annualization, n_time=n_time, n_universe=n_universe, n_walk=4)).collect()}
+        out = told(self.q)
+        if self.second_q:
+            for t, r in told(self.second_q).items():
+                out[t] |= {f"nq_{k}": v for k, v in r.items() if k != "factor"}
+                out[t]["pass"] = out[t]["pass"] and r["pass"]
+        return out
 
     def run(self, population: int = 30, generations: int = 5, seeds: tuple[str, ...] = ()) -> list[dict]:
         """Best formulas, the best first. Elites of 20 % stay, parents win tournaments of 3."""
@@ -277,6 +289,7 @@ class Search:
                 failed.update({t: not r["pass"] for t, r in self.validate(elite).items()})
             if generation == generations - 1:
                 break
+            self._save(generation, [self.cache[t] | {"selection_fitness": fit[t]} for t in order])
             pick = lambda: min(g.rng.sample(order, min(3, len(order))), key=order.index)
             texts = list(elite)
             for _ in range(50 * population):
@@ -286,4 +299,43 @@ class Search:
                 t = g.crossover(pick(), pick()) if r < 0.5 else g.mutate(pick()) if r < 0.8 else g.new()
                 if t not in texts:
                     texts.append(t)
-        return [self.cache[t] | {"selection_fitness": fit[t]} for t in order]
+        found = [self.cache[t] | {"selection_fitness": fit[t]} for t in order]
+        self._save(generations - 1, found)
+        self._finish(population, generations, seeds)
+        return found
+
+    def _save(self, generation: int, rows: list[dict]) -> None:
+        """A generation's rows as CSV and JSON, if there is a folder for them."""
+        if self.folder:
+            write_rows(rows, os.path.join(self.folder, f"generation_{generation:03d}"))
+
+    def _finish(self, population: int, generations: int, seeds: tuple[str, ...]) -> None:
+        """The manifest, and a summary: the best row of each normal spelling, by its fitness."""
+        if not self.folder:
+            return
+        kept = {k: v for k, v in vars(self).items() if isinstance(v, (int, float, str, tuple, type(None)))}
+        with open(os.path.join(self.folder, "manifest.json"), "w", encoding="utf-8") as f:
+            json.dump({**kept, "population": population, "generations": generations, "seeds": list(seeds), "evaluated": len(self.cache)}, f, indent=1, default=str)
+        good = [m | {"selection_fitness": self.selection_fitness(m), "expression_norm": normalized(m["expression"])} for m in self.cache.values() if m.get("status") == "success"]
+        good.sort(key=lambda m: (-m["selection_fitness"], m["expression"]))
+        write_rows(list({m["expression_norm"]: m for m in reversed(good)}.values())[::-1], os.path.join(self.folder, "summary"))
+
+
+# The columns that stand first in a search's files.
+FRONT = ("factor", "expression", "status", "fitness", "valid_fitness", "valid_sharpe", "valid_returns", "selection_fitness", "train_fitness", "train_sharpe", "train_returns")
+
+
+def write_rows(rows: list[dict], path: str, digits: int = 3) -> None:
+    """Rows as path.csv and path.json, numbers rounded; nothing for no rows."""
+    if not rows:
+        return
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    own = [{k: round(v, digits) if isinstance(v, float) and math.isfinite(v) else v for k, v in r.items()} for r in rows]
+    every = list(dict.fromkeys(k for r in own for k in r))
+    columns = [c for c in FRONT if c in every] + [c for c in every if c not in FRONT]
+    with open(f"{path}.csv", "w", newline="", encoding="utf-8") as f:
+        out = csv.DictWriter(f, columns)
+        out.writeheader()
+        out.writerows(own)
+    with open(f"{path}.json", "w", encoding="utf-8") as f:
+        json.dump(own, f, indent=1, default=str)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .dsl import evaluate_batch, stack
 from .scoring import factor_pnl, score, segments
+from .style import residualize
 
 
 def time_folds(df: DataFrame, n: int = 6) -> DataFrame:
@@ -30,16 +31,19 @@ def universe_fold(symbol: str | Column, n: int = 3) -> Column:
 
 
 def by_folds(df: DataFrame, n_time: int = 6, n_universe: int = 3, n_walk: int = 0) -> DataFrame:
-    """Each cell of a stacked frame with every (fold_type, fold) it belongs to, so that one plan scores them all."""
-    f = F.broadcast
-    parts = df.withColumn("fold_type", F.lit("full")).withColumn("fold", F.lit(0))
-    if n_time:
-        parts = parts.unionByName(df.join(f(time_folds(df, n_time)), "ts").withColumn("fold_type", F.lit("time")))
-    if n_walk:
-        parts = parts.unionByName(df.join(f(walk_forward_folds(df, n_walk)), "ts").withColumn("fold_type", F.lit("walk")))
-    if n_universe:
-        parts = parts.unionByName(df.withColumn("fold_type", F.lit("universe")).withColumn("fold", universe_fold("symbol", n_universe) + 1))
-    return parts
+    """Each cell of a stacked frame with every (fold_type, fold) it belongs to, in one pass over the cells; the windows are over dates."""
+    dates = df.select("ts").distinct()
+    for name, n in (("time", n_time), ("walk", n_walk and n_walk + 1)):
+        dates = dates.withColumn(f"{name}_fold", F.ntile(n).over(Window.orderBy("ts")) if n else F.lit(None).cast("int"))
+    fold = lambda kind, n, ok: F.when(ok, F.struct(F.lit(kind).alias("fold_type"), n.cast("int").alias("fold")))
+    found = [
+        fold("full", F.lit(0), F.lit(True)),
+        fold("time", F.col("time_fold"), F.col("time_fold").isNotNull()),
+        fold("walk", F.col("walk_fold") - 1, F.col("walk_fold") > 1),
+        fold("universe", universe_fold("symbol", n_universe) + 1 if n_universe else F.lit(0), F.lit(bool(n_universe))),
+    ]
+    own = df.join(F.broadcast(dates), "ts").withColumn("own", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    return own.select(*df.columns, "own.fold_type", "own.fold")
 
 
 def fold_scores(df: DataFrame, q: int = 5, cost: float = 0.001, annualization: float = 365.0, **folds) -> DataFrame:
@@ -80,23 +84,16 @@ def report_slice(df: DataFrame, mode: str = "validation", ratios=(0.7, 0.15, 0.1
 
 
 def correlations(stacked: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """(a, b, corr, n) of all pairs of factors over their common keys. The number of factors is that of a candidate list."""
-    x = stacked.where(F.col(value).isNotNull())
-    names = [r[0] for r in x.select("factor").distinct().orderBy("factor").limit(2_000).collect()]
-    wide = x.groupBy(*keys).pivot("factor", names).agg(F.first(value))
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    out = None
-    for at in range(0, len(pairs), 200):
-        stats = []
-        for a, b in pairs[at : at + 200]:
-            p, q = F.col(f"`{a}`"), F.col(f"`{b}`")
-            ok = p.isNotNull() & q.isNotNull()
-            vx, vy = F.var_pop(F.when(ok, p)), F.var_pop(F.when(ok, q))
-            corr = F.when((F.count(F.when(ok, 1)) >= 3) & (vx > 1e-300) & (vy > 1e-300), F.covar_pop(F.when(ok, p), F.when(ok, q)) / F.sqrt(vx * vy)).otherwise(0.0)
-            stats.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr.alias("corr"), F.count(F.when(ok, 1)).alias("n")))
-        part = wide.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else stacked.sparkSession.createDataFrame([], "a string, b string, corr double, n long")
+    """(a, b, corr, n) of all pairs of factors that share a key, over their common keys; 0 with less than three of them or without variance.
+
+    Pairs are built key by key and summed before they are shuffled, so there is no limit on factors and no plan that grows with them.
+    """
+    x = stacked.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("factor", F.col(value).cast("double").alias("v")))).alias("all"))
+    pair = x.select(F.posexplode("all").alias("i", "p"), "all").select("p", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("q"))
+    p, q = F.col("p.v"), F.col("q.v")
+    sums = pair.groupBy(F.col("p.factor").alias("a"), F.col("q.factor").alias("b")).agg(F.count("*").alias("n"), F.var_pop(p).alias("vx"), F.var_pop(q).alias("vy"), F.covar_pop(p, q).alias("c"))
+    corr = F.when((F.col("n") >= 3) & (F.col("vx") > 1e-300) & (F.col("vy") > 1e-300), F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).otherwise(0.0)
+    return sums.where("a <> b").select("a", "b", corr.alias("corr"), "n")
 
 
 def rank_correlations(stacked: DataFrame) -> DataFrame:
@@ -146,21 +143,36 @@ def pnl_redundancy(pnl: DataFrame, order: list[str], threshold: float = 0.85) ->
     return greedy_redundancy(order, corr, threshold)
 
 
-def cross_validate(panel: DataFrame, formulas: dict[str, str], q: int = 5, cost: float = 0.001, annualization: float = 365.0, n_time: int = 6, n_universe: int = 3, corr_threshold: float = 0.9, pnl_threshold: float = 0.85, valid_sharpe: dict[str, float] | None = None) -> list[dict]:
-    """A record a formula: fold figures, decision, cluster and redundancy; one plan scores all of them on all folds."""
+def cross_validate(panel: DataFrame, formulas: dict[str, str], q: int = 5, cost: float = 0.001, annualization: float = 365.0, n_time: int = 6, n_universe: int = 3, corr_threshold: float = 0.9, pnl_threshold: float = 0.85, valid_sharpe: dict[str, float] | None = None, second_q: int | None = None, styles: list[str] | None = None, mode: str = "final", ratios=(0.7, 0.15, 0.15)) -> list[dict]:
+    """A record a formula: fold figures, decision, cluster and redundancy; one plan scores all of them on all folds.
+
+    Formulas are evaluated on all dates; only the validation dates are scored unless mode is final. second_q: another number of quantiles, whose verdict on the
+    same folds is added as nq_pass. styles: columns of the panel whose part, date by date, is taken out of each factor first.
+    """
     df, errors = evaluate_batch(panel, formulas)
     names = [k for k in formulas if k not in errors]
-    stacked = stack(df, names, "target").cache()
-    table = robustness(fold_scores(stacked, q, cost, annualization, n_time=n_time, n_universe=n_universe, n_walk=4))
-    known = panel.sparkSession.createDataFrame([(n, (valid_sharpe or {}).get(n)) for n in names], "factor string, summary_valid_sharpe double")
-    rows = [r.asDict() for r in table.join(known, "factor").withColumn("decision", decision(n_universe)).collect()]
-    rank = {"accepted_candidate": 0, "watchlist": 1, "rejected": 2}
-    rows.sort(key=lambda r: (rank[r["decision"]], -(r["time_median_sharpe"] or 0.0), r["factor"]))
-    clusters = correlation_clusters(stacked, names, corr_threshold)
-    where = {n: i for i, own in enumerate(clusters) for n in own}
-    near = pnl_redundancy(factor_pnl(stacked, ["factor"], q, cost), [r["factor"] for r in rows], pnl_threshold)
+    if not names:
+        return []
+    if styles:
+        for n in names:
+            df = df.drop(n).join(residualize(df, n, styles).withColumnRenamed("residual", n), ["ts", "symbol"], "left")
+    stacked = report_slice(stack(df, names, "target"), mode, ratios).cache()
+    try:
+        table = robustness(fold_scores(stacked, q, cost, annualization, n_time=n_time, n_universe=n_universe, n_walk=4))
+        known = panel.sparkSession.createDataFrame([(n, (valid_sharpe or {}).get(n)) for n in names], "factor string, summary_valid_sharpe double")
+        rows = [r.asDict() for r in table.join(known, "factor").withColumn("decision", decision(n_universe)).collect()]
+        if second_q:
+            again = {r["factor"]: r["pass"] for r in robustness(fold_scores(stacked, second_q, cost, annualization, n_time=n_time, n_universe=n_universe, n_walk=4)).collect()}
+            for r in rows:
+                r["nq_pass"] = again.get(r["factor"], False)
+        rank = {"accepted_candidate": 0, "watchlist": 1, "rejected": 2}
+        rows.sort(key=lambda r: (rank[r["decision"]], -(r["time_median_sharpe"] or 0.0), r["factor"]))
+        clusters = correlation_clusters(stacked, names, corr_threshold)
+        where = {n: i for i, own in enumerate(clusters) for n in own}
+        near = pnl_redundancy(factor_pnl(stacked, ["factor"], q, cost), [r["factor"] for r in rows], pnl_threshold)
+    finally:
+        stacked.unpersist()
     for r in rows:
         c, other, red = near[r["factor"]]
-        r |= {"expression": formulas[r["factor"]], "cluster": where[r["factor"]], "max_pnl_corr": c, "nearest_pnl_corr_expression": other, "redundant_by_pnl": red}
-    stacked.unpersist()
+        r |= {"expression": formulas[r["factor"]], "mode": "specific" if styles else "raw", "report_mode": mode, "cluster": where[r["factor"]], "max_pnl_corr": c, "nearest_pnl_corr_expression": formulas.get(other, ""), "redundant_by_pnl": red}
     return rows

@@ -16,8 +16,11 @@ from .panels import densify, with_fields
 
 # Bar lengths that a panel may have, in seconds.
 TIMEFRAMES = {"1m": 60, "3m": 180, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "2h": 7200, "4h": 14400, "6h": 21600, "8h": 28800, "12h": 43200, "1d": 86400}
-STABLECOINS = ("USDT", "USDC", "BUSD", "DAI", "TUSD", "FDUSD", "USDP", "USDE")
+# Symbols that a universe leaves out, as they are pegged.
+STABLECOINS = ("USDT", "USDC", "BUSD", "FDUSD", "TUSD", "USDP", "DAI", "USTC", "USD1")
 TIERS = (("mega", 1e10, None), ("large", 1e8, 1e10), ("mid", 1e7, 1e8), ("small", 1e6, 1e7))
+# The cache's names of the tiers.
+CACHE_TIERS = {"mega": "large", "large": "medium", "mid": "small", "small": "micro"}
 
 
 @dataclass
@@ -66,7 +69,8 @@ def bar_length(timeframe: str) -> timedelta:
 
 
 def days_to_bars(days: float, timeframe: str) -> int:
-    return math.ceil(days * 86400 / TIMEFRAMES[timeframe])
+    """Bars that cover so many days; none for a negative number."""
+    return math.ceil(max(days, 0) * 86400 / TIMEFRAMES[timeframe])
 
 
 def data_window(start: str | None, end: str | None, timeframe: str, train_days: int = 0, lookback_days: int = 0, buffer_bars: int = 0) -> tuple[datetime | None, datetime | None]:
@@ -77,21 +81,36 @@ def data_window(start: str | None, end: str | None, timeframe: str, train_days:
     return (a - early * bar if a else None), (b + bar if b else None)
 
 
-def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Bars (ts, symbol, open, high, low, close, volume) from Parquet, CSV or JSON; Feather files of a driver-side folder by pyarrow."""
-    if fmt != "feather":
-        df = spark.read.option("header", True).option("inferSchema", True).format(fmt).load(path)
-    else:
-        import glob
+def read_feather(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
+    """(ts, symbol, the columns as double) of Feather files, each read by the task that holds it. The symbol is the file's name up to its first hyphen."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.feather").load(path).select("path", "content")
+    schema = "ts timestamp, symbol string, " + ", ".join(f"`{c}` double" for c in columns)
 
+    def parse(batches):
+        import pyarrow as pa
         import pyarrow.feather as pf
 
-        df = None
-        for file in sorted(glob.glob(os.path.join(path, "*.feather"))):
-            own = spark.createDataFrame(pf.read_table(file)).withColumn("symbol", F.lit(os.path.basename(file).split("-")[0]))
-            df = own if df is None else df.unionByName(own)
-        if df is None:
-            raise ValueError(f"no Feather file in {path}")
+        stamp = pa.timestamp("us", "UTC")
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1)):
+                own = pf.read_table(pa.BufferReader(content.as_buffer()))
+                lacks = {"date", *columns} - set(own.column_names)
+                if lacks:
+                    raise ValueError(f"{file} lacks {sorted(lacks)}")
+                at = own.column("date")
+                at = at.cast(pa.timestamp("us")).cast(stamp) if pa.types.is_timestamp(at.type) and at.type.tz is None else at.cast(stamp)
+                symbol = pa.array([os.path.basename(file).split("-")[0]] * len(own), pa.string())
+                table = pa.table([at, symbol, *[own.column(c).cast(pa.float64()) for c in columns]], names=["ts", "symbol", *columns])
+                yield from table.to_batches(max_chunksize=1 << 16)
+
+    return files.mapInArrow(parse, schema)
+
+
+def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Bars (ts, symbol, open, high, low, close, volume) from Parquet, CSV, JSON or a folder of Feather files, one for each symbol."""
+    if fmt == "feather":
+        return read_feather(spark, path, ("open", "high", "low", "close", "volume"))
+    df = spark.read.option("header", True).option("inferSchema", True).format(fmt).load(path)
     if "date" in df.columns:
         df = df.withColumnRenamed("date", "ts")
     missing = {"ts", "symbol", "open", "high", "low", "close", "volume"} - set(df.columns)
@@ -100,6 +119,16 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
     return df
 
 
+def read_funding(spark: SparkSession, path: str, fmt: str = "feather") -> DataFrame:
+    """Funding (ts, symbol, open) from a folder of Feather files, one for each symbol, or from Parquet, CSV or JSON."""
+    if fmt == "feather":
+        return read_feather(spark, path, ("open",))
+    df = spark.read.option("header", True).option("inferSchema", True).format(fmt).load(path)
+    df = df.withColumnRenamed("date", "ts") if "date" in df.columns else df
+    df = df.withColumnRenamed("funding", "open") if "open" not in df.columns and "funding" in df.columns else df
+    return df.select("ts", "symbol", "open")
+
+
 def align_funding(bars: DataFrame, funding: DataFrame) -> DataFrame:
     """Funding of equal stamps, carried forward within a symbol, 0 before the first."""
     w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
@@ -115,7 +144,7 @@ def filter_missing(panel: DataFrame, most: int = 465) -> DataFrame:
 
 
 def load_panel(spark: SparkSession, path: str, config: Config, funding: DataFrame | None = None, supply: DataFrame | None = None, fmt: str = "parquet") -> DataFrame:
-    """A dense panel with all fields: the padded range is filtered at the scan, the target has the next bar, and buffer bars are dropped."""
+    """A dense panel with all fields: the padded range and one bar more are filtered at the scan, so that the last bar has a target too; that bar, and buffer bars, are then dropped."""
     a, b = data_window(config.start, config.end, config.timeframe, config.train_days, config.lookback_days, config.buffer_bars)
     bars = read_bars(spark, path, fmt)
     if config.pairs:
@@ -123,18 +152,65 @@ def load_panel(spark: SparkSession, path: str, config: Config, funding: DataFram
     if a:
         bars = bars.where(F.col("ts") >= F.lit(a))
     if b:
-        bars = bars.where(F.col("ts") <= F.lit(b))
+        bars = bars.where(F.col("ts") <= F.lit(b + bar_length(config.timeframe)))
     if funding is not None:
         bars = align_funding(bars, funding)
     if supply is not None:
         bars = bars.join(supply.select("symbol", F.col("circulating_supply").alias("_s")), "symbol", "left").withColumn("cap", F.col("close") * F.col("_s")).drop("_s")
     panel = with_fields(densify(filter_missing(bars, config.max_missing)))
+    if b:
+        panel = panel.where(F.col("ts") <= F.lit(b))
     if config.buffer_bars:
         dates = panel.select("ts").distinct().withColumn("n", F.row_number().over(Window.orderBy("ts")))
         panel = panel.join(dates.where(F.col("n") > config.buffer_bars).select("ts"), "ts", "left_semi")
     return panel
 
 
+def long_to_wide(panel: DataFrame, fields: list[str], symbols: list[str], buffer: int = 0) -> DataFrame:
+    """(ts, a column `field.symbol` for each) of a panel; the first `buffer` dates are dropped. One aggregate, with the symbols given."""
+    cells = [F.max(F.when(F.col("symbol") == s, F.col(f))).alias(f"{f}.{s}") for f in fields for s in symbols]
+    wide = panel.groupBy("ts").agg(*cells)
+    if buffer:
+        dates = wide.select("ts").withColumn("n", F.row_number().over(Window.orderBy("ts")))
+        wide = wide.join(F.broadcast(dates.where(F.col("n") > buffer).select("ts")), "ts", "left_semi")
+    return wide
+
+
+def wide_to_long(wide: DataFrame) -> DataFrame:
+    """(ts, symbol, a column for each field) of what long_to_wide gives."""
+    names = [c for c in wide.columns if c != "ts"]
+    fields, symbols = list(dict.fromkeys(c.split(".", 1)[0] for c in names)), list(dict.fromkeys(c.split(".", 1)[1] for c in names))
+    rows = F.array(*[F.struct(F.lit(s).alias("symbol"), *[F.col(f"`{f}.{s}`").alias(f) for f in fields]) for s in symbols])
+    return wide.select("ts", F.explode(rows).alias("x")).select("ts", "x.*")
+
+
+def write_market_caps(caps: DataFrame, path: str) -> dict:
+    """Writes the cache of market_caps(), a row a listed pair, as one JSON file: rows from the largest cap, and count and symbols of each tier. Returns what it wrote."""
+    rows = [r.asDict() for r in caps.orderBy(F.col("market_cap_usd").desc_nulls_last(), "symbol").collect()]
+    if all(r["market_cap_usd"] is None for r in rows):
+        raise ValueError("no market cap is known")
+    full = lambda s: f"{s}/USDT:USDT"
+    out = {"timestamp": datetime.now().isoformat(timespec="seconds"), "count": len(rows), "data": rows, "pair_list": [r.get("pair") for r in rows], "symbol_list": [full(r["symbol"]) for r in rows]}
+    for name, key in CACHE_TIERS.items():
+        own = [full(r["symbol"]) for r in rows if r.get("tier") == name]
+        out |= {f"{key}_cap_count": len(own), f"{key}_cap_symbols": own}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(out, f, ensure_ascii=False, indent=2, default=str)
+    return out
+
+
+def read_market_caps(spark: SparkSession, path: str) -> DataFrame:
+    """(pair, symbol, price_usd, market_cap_usd, circulating_supply) of such a file, or of a plain list of rows."""
+    with open(path, encoding="utf-8") as f:
+        raw = json.load(f)
+    rows = raw.get("data") if isinstance(raw, dict) else raw
+    if not isinstance(rows, list):
+        raise ValueError("the cache must be a list or have a list as data")
+    number = lambda x: None if x is None else float(x)
+    own = [(r.get("pair"), r.get("symbol"), number(r.get("price_usd")), number(r.get("market_cap_usd")), number(r.get("circulating_supply"))) for r in rows]
+    return spark.createDataFrame(own, "pair string, symbol string, price_usd double, market_cap_usd double, circulating_supply double")
+
+
 def market_caps(quotes: DataFrame) -> DataFrame:
     """(symbol, price_usd, market_cap_usd, circulating_supply, tier): the largest cap of each symbol; supply is cap / price."""
     w = Window.partitionBy("symbol").orderBy(F.desc("market_cap_usd"), "price_usd")
