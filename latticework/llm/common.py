@@ -22,7 +22,15 @@ SLICE_BYTES = 1 << 21
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bound the rows that Spark hands to Python at once by bytes, unless the session was told another bound: Spark's own is 64 MB a task, kept twice."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name) is None and spark.conf.get(name).rstrip("b") == "67108864":
+        spark.conf.set(name, most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -122,6 +130,31 @@ def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+def give_back() -> None:
+    """Return memory that a task has freed to the system: Python workers outlive their tasks, several to an executor."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(f: Callable) -> Callable:
+    """f, a function of a task's batches, that gives memory back when the task ends."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_frames(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """df.mapInPandas(f, schema), but frames have `most` bytes, however long the rows, and whole numbers with nulls stay whole."""
     kind = DataType.fromDDL(schema)
@@ -134,7 +167,7 @@ def map_frames(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.
             if len(pdf):
                 yield pa.RecordBatch.from_pandas(pdf, schema=names, preserve_index=False)
 
-    return df.mapInArrow(run, kind)
+    return df.mapInArrow(trimmed(run), kind)
 
 
 def with_column(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, pa.Array]], schema: StructType, most: int = SLICE_BYTES) -> DataFrame:
@@ -147,7 +180,7 @@ def with_column(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, pa.Array]
                 own = f(x)
                 yield pa.RecordBatch.from_arrays([own[n] if n in own else x.column(x.schema.get_field_index(n)) for n in names], names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def words(text: str | None) -> list[bytes]:

@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import by_size, crc_mod, fresh, map_frames, slices, table
+from .common import by_size, crc_mod, fresh, map_frames, slices, table, trimmed
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Characters of a word that are scored in one go; a character without a piece.
 RUN, UNKNOWN = 32, 1e-7
 #: Words kept by a task; words that are split in one call; bytes of rows, and of these characters, that are scored in one go.
-CACHE_WORDS, SLICE, CHUNK = 200_000, 1 << 14, 1 << 22
+CACHE_WORDS, SLICE, CHUNK = 100_000, 1 << 14, 1 << 21
 #: Languages at most: the model has a column for each, and every task holds it.
 LANGUAGES = 1_000
 UNDETERMINED = "und"
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, langs: list[str], probabilities: np.ndarray, *keep:
                 yield pa.RecordBatch.from_arrays([*x.columns[:-1], names, pa.array(score, pa.float64())], [*keep, pred_col, score_col])
 
     kinds = StructType([*docs.select(*keep).schema, StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
-    return docs.select(*keep, F.col("text").cast("string").alias(text)).mapInArrow(run, kinds)
+    return docs.select(*keep, F.col("text").cast("string").alias(text)).mapInArrow(trimmed(run), kinds)
 
 
 def accepted(docs: DataFrame, langs: list[str], probabilities: np.ndarray) -> DataFrame:
@@ -206,7 +206,7 @@ def accepted(docs: DataFrame, langs: list[str], probabilities: np.ndarray) -> Da
                 pred, _ = best(x.column(at).to_pylist())
                 yield x.filter(pa.array([0 <= k < len(langs) for k in pred]))
 
-    return letters.mapInArrow(run, docs.schema)
+    return letters.mapInArrow(trimmed(run), docs.schema)
 
 
 def identify(docs: DataFrame, held: int = 2, folds: int = 4) -> DataFrame:
