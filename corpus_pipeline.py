@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from latticework.llm import jaccard, langid, packing, secrets, suffix
-from latticework.llm.common import crc_mod, cut
+from latticework.llm.common import crc_mod, cut, small_batches
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,6 +13,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where no row has a lang, all texts with a letter stay. Repeated rows stay repeated; an empty table stays empty.
     """
+    small_batches(spark)
     langs, p = langid.train(docs.where(crc_mod("doc_id", 4) != 2))
     return langid.accepted(docs, langs, p)
 
@@ -23,21 +24,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with the same doc_id and text are one document; different texts with one doc_id are two. Null doc_ids come last in their group;
     texts without a word are in none and stay. An empty table stays empty.
     """
+    small_batches(spark)
     return jaccard.representatives(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 400 bytes that start elsewhere too. All rows stay, some with an empty text; a null text stays null."""
+    small_batches(spark)
     return suffix.deduplicated(docs)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with each secret's span replaced. All rows stay; a null text stays null."""
+    small_batches(spark)
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of 2,048 tokens, of all rows; a null or empty text is a piece of its end alone."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
