@@ -223,6 +223,8 @@ def _labelled(docs: DataFrame, size: int, percent: int, key: str | None) -> Data
 
     signed = cut(map_frames(docs, sign, "doc_id long, n long, cid long, prefix array<long>, parity binary, small binary, central int, tid long" + ", key long" * bool(key)))
     reps = cut(signed.where("n > 0").groupBy("cid", "n").agg(F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), F.first("small").alias("small"), F.first("central").alias("central"), F.min("tid").alias("tid")))
+    slim = cut(signed.select("doc_id", "n", "cid", *(["key"] if key else [])))
+    drop(signed)
     posts = reps.select("cid", "n", "central", F.posexplode("prefix").alias("pos", "tok"))
     lists = posts.groupBy("tok").agg(F.count("*").alias("c"), F.max(F.struct("central", "cid", "n")).alias("p")).where("c > 1")
     lists = cut(lists.select("tok", "c", F.col("p.cid").alias("pivot"), F.col("p.n").alias("pn")))
@@ -273,7 +275,9 @@ def _labelled(docs: DataFrame, size: int, percent: int, key: str | None) -> Data
                 yield b.loc[np.array(ok, bool), ["a", "b"]]
 
         one = lambda x: sets.select(F.col("cid").alias(x), F.col("s").alias(f"s{x}"))
-        return cut(map_frames(pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb"), compare, "a long, b long"))
+        out = cut(map_frames(pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb"), compare, "a long, b long"))
+        drop(sets)
+        return out
 
     near = f"pn * {percent} <= n * 100 and n * {percent} <= pn * 100"
     firsts = members.where("cid <> pivot").where(near).groupBy(F.col("cid").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("c"))
@@ -330,7 +334,7 @@ def _labelled(docs: DataFrame, size: int, percent: int, key: str | None) -> Data
         if not open_.limit(1).count():
             break
     own = ["key"] if key else []
-    grouped = signed.select("doc_id", "n", "cid", *own).join(label, "cid", "left")
+    grouped = slim.join(label, "cid", "left")
     return cut(grouped.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "cid").alias("label"), *own))
 
 

@@ -25,6 +25,9 @@ _ANY = r"AKIA[A-Z0-9]{14}|[0-9a-f]{16}|[A-Za-z0-9+/_-]{24}|[:=]\x20*[\"']?[A-Za-
 #: Bits a character, at least, of a token that no pattern names; owners, or repositories of two owners or more, from which on a value is an example.
 ENTROPY, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3.5, 3, 4
 
+#: Bytes of spans that are sent to every executor at most, to be found without shuffling the texts.
+BROADCAST = 1 << 24
+
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind's number, end, value), sorted."""
@@ -139,7 +142,10 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
         texts = cut(own.where(F.col("text").rlike(_ANY)))
         hit = find(texts).where("spans <> ''").select("doc_id", "spans")
         spans = keep(cut(hit.join(texts.select("doc_id", "key"), "doc_id").groupBy("key").agg(F.max("spans").alias("spans"))))
+    size = spans.agg(F.sum(F.length("spans") + 100)).first()[0] or 0
     spans = spans.select(F.col("key").alias(key), F.col("spans").alias(found))
+    if size <= BROADCAST:  # else all texts are shuffled by their keys
+        spans = F.broadcast(spans)
 
     def run(b):
         at = b.schema.get_field_index("text")
