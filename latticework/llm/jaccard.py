@@ -161,7 +161,8 @@ def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     with scratch() as keep:
         grouped = labelled(keyed.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), size, percent, key)
         rows = cut(grouped.groupBy("label", "key", "doc_id").agg(F.count("*").alias("times")))
-        first = rows.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("x")).select("label", F.col("x.key").alias("best"))
+        # Written, so that Spark may split the join at the label of a large group.
+        first = cut(rows.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("x")).select("label", F.col("x.key").alias("best")))
         told = cut(rows.join(first, "label").select(F.col("key").alias(key), (F.col("key") == F.col("best")).alias("stays"), "times"))
         gone = keep(cut(told.where("not stays or times > 1").select(key).distinct()))
         many = keep(cut(told.where("stays and times > 1").select(key).distinct()))
