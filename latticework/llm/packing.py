@@ -29,6 +29,8 @@ TASK = 1 << 21
 TAILS = 64
 #: Characters that are encoded in one go.
 CHUNK = 1 << 23
+#: Bytes of pieces and their ids that a worker keeps for later chunks and tasks.
+KNOWN = 1 << 25
 
 
 def _spread(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,9 +45,12 @@ class WordBPE:
 
     As in the library, the strings of special tokens in a text are those tokens unless plain is set.
     The file's own normaliser and split are applied here, so that each distinct piece
-    of CHUNK characters goes to the library once.
+    of CHUNK characters goes to the library once, and not at all if its ids are known from an earlier chunk.
     """
 
+    #: Letters, perhaps, and the ASCII punctuation that ends a word: that is one piece, whatever it holds.
+    ENDED = r"^(?P<stem>[^\x00-@\[-`{-\x7F]+)(?P<tail>[!-/:-@\[-`{-~]+)$"
+
     def __init__(self, name: str, plain: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -60,6 +65,12 @@ class WordBPE:
         # The same model for pieces that are split and normalised already.
         self.bare = Tokenizer(self.lib.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces, the ids of all of them, and how many each has."""
+        self.known, self.flat, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, how many each has), by one call: the last token of each piece, and no other, has the mark of an end."""
         ids = np.array(self.bare.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
@@ -81,22 +92,44 @@ class WordBPE:
         odd = [any(x in t for x in self.odd) for t in texts]
         split = pc.utf8_split_whitespace(pa.array(["" if o else unicodedata.normalize("NFC", t).lower() for t, o in zip(texts, odd)], pa.large_string()))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary
-        # A word of letters alone is one piece.
-        one = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
-        parts = list(map(self.split, words.filter(pa.array(~one)).to_pylist()))
-        count = np.ones(len(words), np.int64)
-        count[~one] = list(map(len, parts))
-        pieces = pa.concat_arrays([words.filter(pa.array(one)), pa.array(list(chain.from_iterable(parts)), words.type)]).dictionary_encode()
-        # Pieces stand with words of one piece first; by word, they are:
-        place = np.argsort(np.concatenate([np.flatnonzero(one), np.repeat(np.flatnonzero(~one), count[~one])]), kind="stable")
-        by_piece, sizes = _spread(*self._pieces(pieces.dictionary.to_pylist()), pieces.indices.to_numpy()[place])
-        reach = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(count)]
-        ids, sizes = _spread(by_piece, np.diff(reach, prepend=0), coded.indices.to_numpy())
+        by_word, sizes = self._words(coded.dictionary)
+        ids, sizes = _spread(by_word, sizes, coded.indices.to_numpy())
         cuts = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()].tolist()
         for i, t in enumerate(texts):
             yield self._whole(t) if odd[i] else ids[cuts[i] : cuts[i + 1]]
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has)."""
+        # A word of letters alone is one piece, one of letters and punctuation two.
+        one = pc.utf8_is_alpha(words)
+        rest = words.filter(pc.invert(one))
+        parted = pc.extract_regex(rest, self.ENDED)
+        stem, tail = pc.struct_field(parted, "stem"), pc.struct_field(parted, "tail")
+        two = pc.utf8_is_alpha(stem).fill_null(False)
+        parts = list(map(self.split, rest.filter(pc.invert(two)).to_pylist()))
+        pieces = pa.concat_arrays([words.filter(one), stem.filter(two), tail.filter(two), pa.array(list(chain.from_iterable(parts)), words.type)]).dictionary_encode()
+        # Pieces stand by kind of word, a word's own in order; by word, they are:
+        one, two = (x.to_numpy(zero_copy_only=False) for x in (one, two))
+        other, count = np.flatnonzero(~one), np.ones(len(words), np.int64)
+        count[other[two]], count[other[~two]] = 2, list(map(len, parts))
+        place = np.argsort(np.concatenate([np.flatnonzero(one), other[two], other[two], np.repeat(other[~two], count[other[~two]])]), kind="stable")
+        by_piece, sizes = _spread(*self._learned(pieces.dictionary), pieces.indices.to_numpy()[place])
+        reach = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(count)]
+        return by_piece, np.diff(reach, prepend=0)
+
+    def _learned(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all of the distinct pieces, how many each has). Pieces that are new become known; beyond KNOWN bytes all are forgotten first."""
+        if self.known.nbytes + self.flat.nbytes + self.sizes.nbytes > KNOWN:
+            self._forget()
+        at = pc.index_in(pieces, value_set=self.known)
+        fresh, before = pieces.filter(at.is_null()), len(self.known)
+        if len(fresh):
+            flat, sizes = self._pieces(fresh.to_pylist())
+            self.known, self.flat, self.sizes = pa.concat_arrays([self.known, fresh]), np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = before + np.arange(len(fresh))
+        return _spread(self.flat, self.sizes, place)
+
 
 @lru_cache(1)
 def _coder(name: str, plain: bool = False) -> WordBPE:
